@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import fertility, mixing, token_counts, topk
+from . import fertility, language_id, mixing, packing, quality_model, token_counts, topk
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the synthetic documents have no URL: their source stands for the host, the language section for the path
+    return quality_model.classify(c.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("lang"))
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +27,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(c.documents(spark, sf_dir), c.scratch_path(spark, "token-cache"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(c.documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(c.documents(spark, sf_dir))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long"), topk.quantised(F.col("embedding")).alias("vector")).dropna()
     return topk.search(table.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id"), table)
 
 
-QUERIES = {f.__name__: f for f in (op2_fertility, op4_mixing, op6_token_counts, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_fertility, op4_mixing, op6_token_counts, op8_language_id, op9_packing, op10_topk)}
 
 ORACLE_SQL = {
     "op10_topk": """
