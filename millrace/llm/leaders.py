@@ -1,14 +1,17 @@
-"""Links among the members of colliding buckets without all pairs of a bucket.
+"""Links among the members of colliding buckets without all pairs of large buckets.
 
-In each round the least member of every bucket leads it and is compared with the others; those alike are linked and
+Buckets of at most SMALL members are compared pair by pair. Larger ones are first split by further MinHash keys, where
+the caller can give them; members that are alike stay together in one of the new buckets at least. What is still large
+goes in rounds: the least member of every bucket leads it and is compared with the others; those alike are linked and
 leave, the rest goes to the next round. Afterwards leaders of a bucket are unlike one another, so two members of
 different leaders can only be alike if their leaders are near (the distance 1 - similarity obeys the triangle
-inequality); only such members, and only if no chain of links joins them yet, are compared directly. So every two
-members that share a bucket and are alike end in one component, and the number of comparisons follows the members.
+inequality); only such members, and only if no chain of links joins them yet, are compared directly. So members that
+share a bucket and are alike end in one component, and the number of comparisons follows the members.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,12 +21,32 @@ from . import common as c
 from .components import connected
 
 
-def linked(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], least: float, name: str) -> DataFrame:
-    """Links a, b (similarity of `least` or more) from buckets (key, node); alike adds `similarity` to distinct pairs a, b."""
-    spark = buckets.sparkSession
-    kind = buckets.schema["node"].dataType.simpleString()
-    several = buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter(F.col("x") != F.col("y")).select("key")
-    rest = c.written(buckets.join(several, "key", "left_semi").select("key", "node").distinct(), f"{name}-rest")
+#: Members of a bucket that is compared pair by pair, and how often larger ones are split.
+SMALL, SPLITS = 12, 5
+
+
+def linked(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], least: float, name: str, split: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Links a, b (similarity of `least` or more) from buckets (key, node).
+
+    alike adds `similarity` to distinct pairs a, b; split gives new buckets for the members of large ones at a level.
+    """
+    rest, few = buckets.select("key", "node").distinct(), []
+    for level in range(SPLITS + 1):
+        size = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+        rest = c.written(rest.join(size, "key"), f"{name}-rest")
+        few.append(rest.filter(F.col("n") <= SMALL).select("key", "node"))
+        rest = rest.filter(F.col("n") > SMALL).select("key", "node")
+        if split is None or level == SPLITS or rest.isEmpty():
+            break
+        rest = split(rest, level).distinct()
+    little = functools.reduce(DataFrame.unionByName, few)
+    pairs = little.withColumnRenamed("node", "a").join(little.withColumnRenamed("node", "b"), "key").filter(F.col("a") > F.col("b")).select("a", "b").distinct()
+    links = c.written(alike(pairs).filter(F.col("similarity") >= least), f"{name}-pairs")
+    return links.unionByName(_led(rest, alike, least, name)) if not rest.isEmpty() else links
+
+
+def _led(rest: DataFrame, alike: Callable[[DataFrame], DataFrame], least: float, name: str) -> DataFrame:
+    """Links inside large buckets, by leaders."""
     tested = led = None
     while not rest.isEmpty():
         led_now = rest.join(rest.groupBy("key").agg(F.min("node").alias("leader")), "key")
@@ -37,8 +60,6 @@ def linked(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], least: f
         taken = judged.filter(F.col("similarity") >= least).select("key", "node", "leader", "similarity")
         led = taken if led is None else led.unionByName(taken)
         rest = judged.filter(F.col("similarity") < least).select("key", "node")
-    if tested is None:
-        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
     links = tested.filter(F.col("similarity") >= least)
     near = tested.filter((F.col("similarity") < least) & (F.col("similarity") >= 3 * least - 2))
     if near.isEmpty():
