@@ -1,19 +1,20 @@
-"""Links among the members of colliding buckets without all pairs of large buckets.
-
-Buckets of at most SMALL members are compared pair by pair. Larger ones are first split by further MinHash keys, where
-the caller can give them; members that are alike stay together in one of the new buckets at least. What is still large
-goes in rounds: the least member of every bucket leads it and is compared with the others; those alike are linked and
-leave, the rest goes to the next round. Afterwards leaders of a bucket are unlike one another, so two members of
-different leaders can only be alike if their leaders are near (the distance 1 - similarity obeys the triangle
-inequality); only such members, and only if no chain of links joins them yet, are compared directly. So members that
-share a bucket and are alike end in one component, and the number of comparisons follows the members.
+"""Links among the members of colliding buckets.
+
+Buckets of at most SMALL members are compared pair by pair, each pair once however many buckets it shares. Larger ones
+are cut into blocks of BLOCK members; a task compares two blocks by one matrix product and gives back links that span
+what it finds connected, never all pairs. Buckets beyond MOST members would make too many block pairs: they first go in
+rounds, in which the least member of a bucket leads it and is compared with the others; those alike are linked and
+leave. Leaders of a bucket are then unlike one another, so two members of different leaders can only be alike if their
+leaders are near (the distance 1 - similarity obeys the triangle inequality); only such members, and only if no chain
+of links joins them yet, are compared directly. So members that share a bucket and are alike end in one component.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +22,88 @@ from . import common as c
 from .components import connected
 
 
-#: Members of a bucket that is compared pair by pair, and how often larger ones are split.
-SMALL, SPLITS = 12, 5
+#: Members of a bucket that is compared pair by pair, of a block, and of a bucket that is compared in blocks.
+SMALL, BLOCK, MOST = 12, 512, 16384
 
 
-def linked(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], least: float, name: str, split: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Links a, b (similarity of `least` or more) from buckets (key, node).
+def linked(buckets: DataFrame, alike: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], least: float, name: str) -> DataFrame:
+    """Links a, b of similarity `least` or more, from buckets (key, node).
 
-    alike adds `similarity` to distinct pairs a, b; split gives new buckets for the members of large ones at a level.
+    alike adds `similarity` to distinct pairs a, b; blocks finds the links among the rows of each (key, i, j).
     """
-    rest, few = buckets.select("key", "node").distinct(), []
-    for level in range(SPLITS + 1):
-        size = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        rest = c.written(rest.join(size, "key"), f"{name}-rest")
-        few.append(rest.filter(F.col("n") <= SMALL).select("key", "node"))
-        rest = rest.filter(F.col("n") > SMALL).select("key", "node")
-        if split is None or level == SPLITS or rest.isEmpty():
-            break
-        rest = split(rest, level).distinct()
-    little = functools.reduce(DataFrame.unionByName, few)
-    pairs = little.withColumnRenamed("node", "a").join(little.withColumnRenamed("node", "b"), "key").filter(F.col("a") > F.col("b")).select("a", "b").distinct()
+    rest = buckets.select("key", "node").distinct()
+    size = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    rest = c.written(rest.join(size, "key"), f"{name}-rest")
+    few = rest.filter(F.col("n") <= SMALL)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter(F.col("a") > F.col("b")).select("a", "b").distinct()
     links = c.written(alike(pairs).filter(F.col("similarity") >= least), f"{name}-pairs")
-    return links.unionByName(_led(rest, alike, least, name)) if not rest.isEmpty() else links
+    large = rest.filter(F.col("n") > SMALL)
+    most = large.agg(F.max("n")).first()[0] or 0
+    if most:
+        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = large.filter(F.col("n") <= MOST).withColumn("_of", n_blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_of")).cast("int"))
+        other = F.explode(F.when(F.col("_of") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("_of") - 1), F.array("_own"))))
+        met = own.withColumn("_other", other).select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node")
+        links = links.unionByName(c.written(blocks(met), f"{name}-blocks"))
+    if most > MOST:
+        links = links.unionByName(_led(large.filter(F.col("n") > MOST).select("key", "node"), alike, least, name))
+    return links
+
+
+def spanning(nodes: list, sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple]:
+    """Links (a, b, similarity) that span the components of weighted sets alike by `least`: distinct keys and whole weights each.
+
+    The shared weight of all pairs is a product of matrices whose columns are the keys that two sets or more hold.
+    """
+    total = np.array([w.sum() for _, w in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
+    keys, weights = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets])
+    unique, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    column = np.full(len(unique), -1)
+    shared = np.flatnonzero(count > 1)
+    column[shared] = np.arange(len(shared))
+    use = column[place] >= 0
+    owner, place, weights = owner[use], column[place][use], weights[use]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(shared), 4096):
+        inside = (place >= at) & (place < at + 4096)
+        x = np.zeros((len(sets), min(4096, len(shared) - at)), np.float32)
+        x[owner[inside], place[inside] - at] = np.sqrt(weights[inside])
+        common += x @ x.T
+    similarity = common / np.maximum(total[:, None] + total[None, :] - common, 1e-9)
+    near = similarity >= least - 1e-6
+    out, seen = [], np.zeros(len(sets), bool)
+    for root in range(len(sets)):
+        if seen[root]:
+            continue
+        seen[root], front = True, [root]
+        while front:
+            i = front.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            front += new.tolist()
+            out += [(max(nodes[i], nodes[x]), min(nodes[i], nodes[x]), float(similarity[i, x])) for x in new.tolist() if nodes[i] != nodes[x]]
+    return out
+
+
+def grouped(batches: Iterable[pa.RecordBatch], sets_of: Callable[[pa.RecordBatch], list], node_of: Callable, least: float) -> Iterator[list[tuple]]:
+    """spanning() for each run of equal key, i, j in sorted rows; a run is at most two blocks."""
+    at, nodes, sets = None, [], []
+    for batch in batches:
+        own = list(zip(batch.column("key").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True))
+        for group, node, found in zip(own, batch.column("node").to_pylist(), sets_of(batch), strict=True):
+            if group != at and nodes:
+                yield spanning(nodes, sets, least)
+                nodes, sets = [], []
+            at = group
+            nodes.append(node_of(node))
+            sets.append(found)
+    if nodes:
+        yield spanning(nodes, sets, least)
 
 
 def _led(rest: DataFrame, alike: Callable[[DataFrame], DataFrame], least: float, name: str) -> DataFrame:
-    """Links inside large buckets, by leaders."""
+    """Links inside the largest buckets, by leaders."""
     tested = led = None
     while not rest.isEmpty():
         led_now = rest.join(rest.groupBy("key").agg(F.min("node").alias("leader")), "key")

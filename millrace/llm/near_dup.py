@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .components import connected
-from .leaders import linked
+from .leaders import grouped, linked
 
 #: Words in a shingle, least similarity, bands and samples in a band: recall at 0.8 is 1 - (1 - 0.8^4)^14 > 0.999.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 14, 4
@@ -156,12 +156,29 @@ def _similarity(held):
     return run
 
 
+def _block_links(held):
+    def sets(part):
+        out = []
+        for found in _shingled(part):
+            # a shingle that occurs n times is n keys of equal weight, so that sums of shared keys are sums of minima
+            nth = np.arange(found[1].sum()) - np.repeat(np.cumsum(found[1]) - found[1], found[1])
+            once = np.repeat(found[0], found[1])
+            out.append((c.mix(once + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(held.value[(found[0] >> np.uint64(45)).astype(np.int64)], found[1])))
+        return out
+
+    def run(batches):
+        for links in grouped(c.text_chunks(batches), sets, lambda node: node, LEAST):
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary()), "similarity": pa.array([x[2] for x in links], pa.float64())})
+
+    return run
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, root of texts with near duplicates, and the verified links between them; docs: doc_id, text, node."""
     held = docs.sparkSession.sparkContext.broadcast(rarity(docs))  # SKETCH floats
     signed = c.written(docs.select("node", "text").mapInArrow(_signatures(held), "node binary, keys array<long>"), "near-signatures")
     buckets = signed.select("node", F.explode("keys").alias("key")).distinct()
-    several = buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter(F.col("x") != F.col("y")).select("key")
+    several = buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
     buckets = c.written(buckets.join(several, "key", "left_semi"), "near-buckets")
     nodes = buckets.select("node").distinct()
     texts = c.written(docs.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
@@ -170,7 +187,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_similarity(held), "a binary, b binary, similarity double")
 
-    links = c.written(linked(buckets, alike, LEAST, "near"), "near-links")
+    def blocks(met: DataFrame) -> DataFrame:
+        rows = met.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "text")
+        return rows.mapInArrow(_block_links(held), "a binary, b binary, similarity double")
+
+    links = c.written(linked(buckets, alike, blocks, LEAST, "near"), "near-links")
     return c.written(connected(links.select("a", "b"), "near-components"), "near-classes"), links
 
 

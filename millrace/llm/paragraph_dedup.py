@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .components import connected
-from .leaders import linked
+from .leaders import grouped, linked
 
 #: Words in a shingle and in the shortest paragraph, least similarity, wanted recall there, least words in a removed run.
 WORDS, LEAST, RECALL, RUN = 5, 0.8, 0.95, 16
@@ -37,8 +37,6 @@ def bands_for(least: float, recall: float, rows: int = 1) -> int:
 
 
 BANDS = bands_for(LEAST, RECALL)
-#: Hashes by which a large bucket is split.
-MORE = 3
 #: A word that ends in one of these ends a sentence.
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?;:|", np.uint8))
 
@@ -119,6 +117,16 @@ def _texts_of(places_then_text):
             yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "seg": pa.array(seg, pa.int32()), "shingles": pa.array(out, pa.list_(pa.int64()))})
 
 
+def _block_links(batches):
+    def sets(batch):
+        return [(k, np.ones(len(k), np.float32)) for k in (np.asarray(x, np.int64) for x in batch.column("shingles").to_pylist())]
+
+    kind = pa.struct([("doc", pa.int64()), ("seg", pa.int32())])
+    for links in grouped(batches, sets, lambda node: (node["doc"], node["seg"]), LEAST):
+        a, b = ([{"doc": x[k][0], "seg": x[k][1]} for x in links] for k in (0, 1))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array([x[2] for x in links], pa.float64())})
+
+
 def _cut(batches):
     """Removes the paragraphs of each text that are to go and stand in long enough runs; white space around a run closes up."""
     for part in c.text_chunks(batches):
@@ -189,13 +197,11 @@ def removals(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("x", "y"))
         return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity"))
 
-    def split(large: DataFrame, level: int) -> DataFrame:
-        # MORE further hashes beside the key: pairs at LEAST still share one with probability above 0.99
-        own = large.join(sets, "node")
-        keys = [F.xxhash64("key", F.lit(j), F.array_min(F.transform("shingles", lambda x, j=j: F.xxhash64(x, F.lit(level * MORE + j))))) for j in range(MORE)]
-        return own.select("node", F.explode(F.array(*keys)).alias("key")).select("key", "node")
+    def blocks(met: DataFrame) -> DataFrame:
+        rows = met.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "shingles")
+        return rows.mapInArrow(_block_links, "a struct<doc:long,seg:int>, b struct<doc:long,seg:int>, similarity double")
 
-    links = linked(buckets, alike, LEAST, "paragraph", split)
+    links = linked(buckets, alike, blocks, LEAST, "paragraph")
     classes = c.written(connected(links.select("a", "b"), "paragraph-components"), "paragraph-classes")
     others = classes.filter(F.col("node") != F.col("root")).select("node.doc", "node.seg", F.col("root.doc").alias("first"))
     equal = same.join(classes.withColumnRenamed("node", "lead"), "lead", "left").select("doc", "seg", F.coalesce("root.doc", "lead.doc").alias("first"))
