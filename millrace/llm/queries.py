@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import fertility, language_id, mixing, near_dup, packing, paragraph_dedup, quality_model, token_counts, topk
+from . import fertility, language_id, lm_scoring, mixing, near_dup, packing, paragraph_dedup, quality_model, token_counts, topk
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.score_documents(c.documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(c.documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(c.documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id"), table)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_fertility, op4_mixing, op5_paragraph_dedup, op6_token_counts, op7_near_dup, op8_language_id, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_fertility, op3_lm_scoring, op4_mixing, op5_paragraph_dedup, op6_token_counts, op7_near_dup, op8_language_id, op9_packing, op10_topk)}
 
 ORACLE_SQL = {
     "op10_topk": """
