@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +63,21 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets).cast("int")
 
 
+@functools.cache
+def one_blas_thread() -> None:
+    """Keeps numpy's matrix products to the one core that Spark gave the task.
+
+    Spark tells Python workers to use as many threads as the executor has cores; on small products these spin more than
+    they work. A numpy without its own OpenBLAS is left as it is.
+    """
+    for file in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*.so*"):
+        library = ctypes.CDLL(str(file))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together hold about limit bytes at most."""
     for batch in batches:

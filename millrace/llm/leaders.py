@@ -55,6 +55,7 @@ def spanning(nodes: list, sets: list[tuple[np.ndarray, np.ndarray]], least: floa
 
     The shared weight of all pairs is a product of matrices whose columns are the keys that two sets or more hold.
     """
+    c.one_blas_thread()
     total = np.array([w.sum() for _, w in sets])
     owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
     keys, weights = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets])

@@ -56,6 +56,7 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and the integer score matrix of a pair of blocks."""
+    c.one_blas_thread()
     q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
     q, v = (np.frombuffer(row[k], "<i8").reshape(n, -1) for k, n in (("q_vectors", len(q_ids)), ("vectors", len(ids))))
     most = max(q.shape[1], 1) * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0))
