@@ -100,10 +100,10 @@ SELECT count(*) AS n, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents, m
     "grep_documents": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k, len(ls) AS n FROM d),
-o AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(line) - 1 AS at FROM l),
+o AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(line) - 1 AS pos FROM l),
 m AS (SELECT *, regexp_extract(line, '{MAIL}') AS hit FROM o WHERE regexp_matches(line, '{MAIL}') AND NOT (k = n AND line = ''))
-SELECT doc_id, k::INTEGER AS line_number, at::BIGINT AS "offset", (strlen(line) + (k < n)::INTEGER)::INTEGER AS line_length,
-       (at + strlen(substr(line, 1, strpos(line, hit) - 1)))::BIGINT AS match_offset, strlen(hit)::INTEGER AS match_length,
+SELECT doc_id, k::INTEGER AS line_number, pos::BIGINT AS "offset", (strlen(line) + (k < n)::INTEGER)::INTEGER AS line_length,
+       (pos + strlen(substr(line, 1, strpos(line, hit) - 1)))::BIGINT AS match_offset, strlen(hit)::INTEGER AS match_length,
        rtrim(line, chr(13)) AS content, false AS truncated, false AS capped FROM m""",
     "list_hosts": """
 WITH k AS (SELECT url, substr(url, 9) AS tail FROM pages WHERE starts_with(url, 'https://') AND url > 'https://d'),
