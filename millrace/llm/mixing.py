@@ -62,7 +62,8 @@ def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     order = Window.partitionBy("_source").orderBy("_bucket")
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        inside = sized.join(at, "_source").filter(F.shiftrightunsigned("_hash", shift + LEVEL_BITS) == F.shiftrightunsigned("_low", shift + LEVEL_BITS))
+        inside = sized.join(F.broadcast(at), "_source")  # a row a source, MOST_SOURCES at most
+        inside = inside.filter(F.shiftrightunsigned("_hash", shift + LEVEL_BITS) == F.shiftrightunsigned("_low", shift + LEVEL_BITS))
         sums = inside.groupBy("_source", "_left", "_low", F.shiftrightunsigned("_hash", shift).alias("_bucket")).agg(F.sum("size").alias("_sum"))
         # at most 2^LEVEL_BITS buckets a source
         running = sums.withColumn("_before", F.sum("_sum").over(order) - F.col("_sum"))
