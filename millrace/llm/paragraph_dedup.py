@@ -223,10 +223,12 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs with the removed passages cut from text (and n_chars counted again where there is one); what loses all its words goes."""
-    others = [x for x in docs.columns if x != "text"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    out = _judged(docs, [docs[x] for x in others], types)
+    # columns travel under numbers, so that none of their names can clash with the operator's own
+    others = {f.name: (f"_mr_{i}", f.dataType) for i, f in enumerate(docs.schema) if f.name != "text"}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{x}`").alias(own) for x, (own, _) in others.items()))
+    out = _judged(rows, [own for own, _ in others.values()], ", ".join(f"{own} {kind.simpleString()}" for own, kind in others.values()))
     out = out.filter((F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own, kind = others["n_chars"]
+        out = out.withColumn(own, F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col(own)).cast(kind))
+    return out.select(*("text" if x == "text" else F.col(others[x][0]).alias(x) for x in docs.columns))
