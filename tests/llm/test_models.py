@@ -66,7 +66,7 @@ def test_language_of_odd_rows(spark):
 
 
 def test_quality_of_held_out_labels(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))  # sf0.01 holds too few toxic labels to measure on
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))  # the 37 toxic training labels of sf0.01 teach too little: 0.738 there
     held = F.col("doc_id") % 4 == 1
     got = {r["doc_id"]: r for r in quality_model.classify(docs, labels.filter(~held), F.col("source"), F.col("lang")).collect()}
     assert len(got) == docs.count()
