@@ -4,11 +4,16 @@ Every whole text is cut into small paragraphs where its own words say so: at lin
 long sentences after words chosen by hash, so that a passage is cut alike wherever it stands. Paragraphs of fewer than
 WORDS words join the next one. Equal paragraphs meet by their hash; alike ones by MinHash keys of their 5-word shingles,
 BANDS keys of one hash each (the fewest that find 95 % of pairs at LEAST), and are verified by exact Jaccard similarity.
-Components of the verified links are the removals: the first occurrence (least doc_id, then place) stays, the others go
-where the paragraphs to remove stand together RUN words long or more, so short phrases that many texts share stay.
+Components of the verified links are the removals: the first occurrence (least doc_id, then place) stays, the others go.
+
+Passages need not keep to paragraphs. Of any SPAN neighbouring runs of RUN words the one of least hash is a seed, so two
+texts that share RUN + SPAN - 1 words in a row share a seed wherever the passage starts or ends. Seeds that recur are
+compared with their first occurrence word by word to both sides, and what is equal goes like the paragraphs. Words to
+remove go where they stand together RUN words long or more, so short phrases that many texts share stay.
 
 Nulls: a null text is empty, has no paragraph and stays null; a null doc_id orders after all others and is never joined
-to another row, so its rows are kept whole. Rows that repeat a doc_id with equal text are one document and stay equal.
+to another row, so its rows are kept whole. Rows that repeat a doc_id with equal text are one document and stay equal;
+other texts under the same doc_id are documents of their own, told apart by a hash of the text.
 Extra columns are ignored (spans) or kept (remove).
 """
 
@@ -29,6 +34,10 @@ from .leaders import grouped, linked
 WORDS, LEAST, RECALL, RUN = 5, 0.8, 0.95, 16
 #: A sentence of more than LONG words is cut after words chosen by hash, one in EVERY.
 LONG, EVERY = 24, 8
+#: Neighbouring runs of RUN words among which one is a seed, and the words compared to each side of it: neighbouring seeds of a passage are nearer.
+SPAN = 32
+#: Keys of more than one in HOT rows are joined by broadcast.
+HOT = 512
 
 
 def bands_for(least: float, recall: float, rows: int = 1) -> int:
@@ -77,6 +86,87 @@ def _shingles(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[n
     return c.shingle_hashes(words, np.concatenate([first, last[-1:] + 1]), WORDS)
 
 
+def seeds(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (first words) and hashes of the seeds of each text; a text of fewer runs than SPAN has one among all of them."""
+    n = len(words) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(places) - 1), np.diff(places))[:n]
+    rolled = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    hashes = c.mix(rolled)
+    # the low bits name the place, later ones first among equal hashes
+    low = np.uint64((1 << 20) - 1)
+    inside = np.arange(n) + RUN <= places[1:][owner]
+    ranked = np.where(inside, (hashes & ~low) | (~np.arange(n)).astype(np.uint64) & low, np.uint64((1 << 64) - 1))
+    best, step = np.concatenate([ranked, np.full(SPAN, (1 << 64) - 1, np.uint64)]), 1
+    while step < SPAN:
+        best[:-step] = np.minimum(best[:-step], best[step:])
+        step *= 2
+    begin = np.flatnonzero(np.arange(n) + RUN + SPAN - 1 <= places[1:][owner])
+    least = best[begin]
+    size = np.diff(places)
+    few = np.flatnonzero((size >= RUN) & (size < RUN + SPAN - 1))
+    if len(few):
+        edges = np.stack([places[:-1][few], places[1:][few] - RUN + 1], axis=1).ravel()
+        least = np.concatenate([least, np.minimum.reduceat(np.append(ranked, ranked[-1:]), edges)[::2]])
+        begin = np.concatenate([begin, places[:-1][few]])
+    at = np.unique(begin + (((~least & low).astype(np.int64) - begin) & int(low)))
+    keys = hashes[at]
+    # words said over and over are chosen at every place: one in SPAN is enough
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+    since = (at - at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]) // SPAN
+    fresh[1:] |= since[1:] != since[:-1]
+    return at[fresh], keys[fresh]
+
+
+def _seed_rows(batches):
+    for part in c.text_chunks(batches):
+        data, limits = c.buffers(part.column("text"))
+        starts, ends, places = c.word_spans(data, limits)
+        at, keys = seeds(c.span_hashes(data, starts, ends), places)
+        of = np.searchsorted(places, at, "right") - 1
+        own = [part.column(k).take(pa.array(of)) for k in ("doc_id", "dig")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *own, pa.array((at - places[of]).astype(np.int32))], names=["key", "doc", "dig", "pos"])
+
+
+def _sides(batches):
+    """Each named seed with 32 bits of the SPAN words before it (the nearest first) and after it, and how many there are."""
+    reach = np.arange(SPAN)
+    for part in c.text_chunks(batches):
+        data, limits = c.buffers(part.column("text"))
+        starts, ends, places = c.word_spans(data, limits)
+        words = c.span_hashes(data, starts, ends).astype(np.uint32)
+        named = part.column("named")
+        of = np.repeat(np.arange(part.num_rows), named.value_lengths().to_numpy(zero_copy_only=False))
+        flat = named.flatten()
+        pos, keys = flat.field("pos"), flat.field("key")
+        at = pos.to_numpy().astype(np.int64) + places[of]
+        n = np.stack([np.minimum(at - places[of], SPAN), np.minimum(places[of + 1] - at - RUN, SPAN)], axis=1)
+        before = words[np.maximum(at[:, None] - 1 - reach, 0)] if len(at) else np.zeros((0, SPAN), np.uint32)
+        after = words[np.minimum(at[:, None] + RUN + reach, len(words) - 1)] if len(at) else before
+        held = np.concatenate([n.astype(np.uint32), before, after], axis=1)
+        sides = pa.array([x.tobytes() for x in held], pa.binary())
+        own = [part.column(k).take(pa.array(of)) for k in ("doc", "dig")]
+        yield pa.RecordBatch.from_arrays([keys, *own, pos, sides], names=["key", "doc", "dig", "pos", "sides"])
+
+
+def _extended(batches):
+    """The words of each text, around a seed, that equal those around the seed's first occurrence."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in ("sides", "first_sides"))
+        n = np.minimum(x[:, :2], y[:, :2])
+        equal = (x == y)[:, 2:].reshape(-1, 2, SPAN) & (np.arange(SPAN) < n[:, :, None])
+        more = np.logical_and.accumulate(equal, axis=2).sum(axis=2)
+        pos = batch.column("pos").to_numpy().astype(np.int64)
+        columns = [batch.column("doc"), batch.column("dig"), pa.array((pos - more[:, 0]).astype(np.int32)), pa.array((pos + RUN + more[:, 1]).astype(np.int32)), batch.column("first")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "dig", "start", "end", "first"])
+
+
 def _rows(kind: str):
     """Rows of a chunk: exact hashes or MinHash keys, one row a key for the first place in the chunk."""
 
@@ -87,6 +177,7 @@ def _rows(kind: str):
             if not len(found["owner"]):
                 continue
             doc, seg = ids[found["owner"]], found["seg"].astype(np.int32)
+            dig = part.column("dig").to_numpy(zero_copy_only=False)[found["owner"]]
             hashes, at = _shingles(found["words"], found["first"], found["last"])
             if kind == "exact":
                 # the words in their order: a shingle's hash depends on its five, its factor on its place
@@ -95,7 +186,7 @@ def _rows(kind: str):
                 keys = [c.mix((placed[at[1:]] - placed[at[:-1]]) ^ found["own_words"].astype(np.uint64))]
             else:
                 keys = [c.mix(np.minimum.reduceat(c.mix(hashes ^ np.uint64(0xA24BAED4963EE407 * (b + 1) & (1 << 64) - 1)), at[:-1]) + np.uint64(b)) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(doc, len(keys))), pa.array(np.tile(seg, len(keys)))], names=["key", "doc", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(doc, len(keys))), pa.array(np.tile(dig, len(keys))), pa.array(np.tile(seg, len(keys)))], names=["key", "doc", "dig", "seg"])
 
     return run
 
@@ -107,30 +198,32 @@ def _texts_of(places_then_text):
             found = paragraphs(*c.buffers(part.column("text")))
             edges = np.searchsorted(found["owner"], np.arange(part.num_rows + 1))
             hashes, at = _shingles(found["words"], found["first"], found["last"]) if len(found["owner"]) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-            doc, seg, out = [], [], []
-            for d, (i, segs) in enumerate(zip(part.column("doc").to_pylist(), part.column("segs").to_pylist(), strict=True)):
+            doc, dig, seg, out = [], [], [], []
+            for d, (i, h, segs) in enumerate(zip(*(part.column(k).to_pylist() for k in ("doc", "dig", "segs")), strict=True)):
                 for s in segs:
                     p = edges[d] + s
                     doc.append(i)
+                    dig.append(h)
                     seg.append(s)
                     out.append(np.unique(hashes[at[p] : at[p + 1]]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "seg": pa.array(seg, pa.int32()), "shingles": pa.array(out, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "dig": pa.array(dig, pa.int64()), "seg": pa.array(seg, pa.int32()), "shingles": pa.array(out, pa.list_(pa.int64()))})
 
 
 def _block_links(batches):
     def sets(batch):
         return [(k, np.ones(len(k), np.float32)) for k in (np.asarray(x, np.int64) for x in batch.column("shingles").to_pylist())]
 
-    kind = pa.struct([("doc", pa.int64()), ("seg", pa.int32())])
-    for links in grouped(batches, sets, lambda node: (node["doc"], node["seg"]), LEAST):
-        a, b = ([{"doc": x[k][0], "seg": x[k][1]} for x in links] for k in (0, 1))
+    kind = pa.struct([("doc", pa.int64()), ("dig", pa.int64()), ("seg", pa.int32())])
+    for links in grouped(batches, sets, lambda node: (node["doc"], node["dig"], node["seg"]), LEAST):
+        a, b = ([dict(zip(("doc", "dig", "seg"), x[k], strict=True)) for x in links] for k in (0, 1))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array([x[2] for x in links], pa.float64())})
 
 
 def _cut(batches):
-    """Removes the paragraphs of each text that are to go and stand in long enough runs; white space around a run closes up."""
+    """Removes the words of each text that are to go and stand in long enough runs; white space around a run closes up."""
     for part in c.text_chunks(batches):
         data, limits = c.buffers(part.column("text"))
+        starts, ends, places = c.word_spans(data, limits)
         found = paragraphs(data, limits)
         edges = np.searchsorted(found["owner"], np.arange(part.num_rows + 1))
         texts, spans, gone_words, firsts = [], [], [], []
@@ -138,19 +231,25 @@ def _cut(batches):
             raw = data[limits[d] : limits[d + 1]]
             runs, n_gone, of = [], 0, set()
             if gone:
-                where = {g["seg"]: g["first"] for g in gone}
-                run: list[int] = []
-                for s in [*sorted(where), None]:
-                    if run and s != run[-1] + 1:
-                        p, q = edges[d] + run[0], edges[d] + run[-1]
-                        own = int(found["own_words"][p : q + 1].sum())
-                        if own >= RUN:
-                            runs.append((int(found["start"][p]), int(found["end"][q])))
-                            n_gone += own
-                            of |= {where[x] for x in run}
-                        run = []
-                    if s is not None:
-                        run.append(s)
+                base = places[d]
+                where = []  # first word, word after the last, document that keeps it
+                for g in gone:
+                    if g["seg"] is None:
+                        where.append((g["start"], g["end"], g["first"]))
+                    else:
+                        p = edges[d] + g["seg"]
+                        where.append((found["first"][p] - base, found["last"][p] + 1 - base, g["first"]))
+                inside, keeper = np.zeros(places[d + 1] - base + 2, np.int8), np.zeros(places[d + 1] - base, np.int64)
+                for x, y, first in sorted(where, key=lambda x: -x[2]):  # the least document is painted last
+                    inside[x + 1 : y + 1] = 1
+                    keeper[x:y] = first
+                change = np.diff(inside)
+                begin, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+                long = stop - begin >= RUN
+                begin, stop = begin[long], stop[long]
+                runs = list(zip((starts[base + begin] - limits[d]).tolist(), (ends[base + stop - 1] - limits[d]).tolist(), strict=True))
+                n_gone = int((stop - begin).sum())
+                of = set(np.concatenate([*(keeper[x:y] for x, y in zip(begin, stop, strict=True)), keeper[:0]]).tolist())
             if runs:
                 kept, at = [], 0
                 for a, b in runs:
@@ -175,22 +274,49 @@ def _cut(batches):
 RESULT = "n_paragraphs long, removed_words long, removed array<struct<start:long,end:long>>, first_docs array<long>, text string"
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, dig, text of the rows that take part; dig tells texts of one doc_id apart."""
+    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("dig"), "text")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc, dig, start, end, first: words that equal, RUN or more in a row, earlier ones, and the document that keeps them. docs: doc_id, text."""
+    texts = _texts(docs)
+    found = c.written(texts.mapInArrow(_seed_rows, "key long, doc long, dig long, pos int"), "paragraph-seeds")
+    twice = found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    named = _with_key(found, c.written(twice, "paragraph-recurring"), found.count()).groupBy("doc", "dig").agg(F.collect_set(F.struct("pos", "key")).alias("named"))
+    texts = texts.withColumnRenamed("doc_id", "doc").join(named, ["doc", "dig"]).select("doc", "dig", "named", "text")
+    sides = c.written(texts.mapInArrow(_sides, "key long, doc long, dig long, pos int, sides binary"), "paragraph-sides")
+    lead = sides.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dig", "pos", "sides")).alias("lead"))
+    met = _with_key(sides, c.written(lead, "paragraph-leads"), sides.count())
+    met = met.filter(F.struct("doc", "dig", "pos") != F.struct("lead.doc", "lead.dig", "lead.pos"))
+    met = met.select("doc", "dig", "pos", "sides", F.col("lead.doc").alias("first"), F.col("lead.sides").alias("first_sides"))
+    return met.mapInArrow(_extended, "doc long, dig long, start int, end int, first long").distinct()
+
+
+def _with_key(rows: DataFrame, keyed: DataFrame, n_rows: int) -> DataFrame:
+    """rows joined by key to the one row of keyed with their key; the rows of common keys (at most HOT of them) stay where they are."""
+    common = F.col("n") > n_rows / HOT
+    hot = F.broadcast(keyed.filter(common))
+    return rows.join(hot, "key").unionByName(rows.join(keyed.filter(~common), "key"))
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """doc, seg, first: paragraphs that repeat an earlier one, and the document that keeps it. docs: doc_id, text."""
-    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    place = F.struct("doc", "seg")
-    columns = "key long, doc long, seg int"
+    """doc, dig, seg, first: paragraphs that repeat an earlier one, and the document that keeps it. docs: doc_id, text."""
+    texts = _texts(docs)
+    place = F.struct("doc", "dig", "seg")
+    columns = "key long, doc long, dig long, seg int"
     by_key = Window.partitionBy("key")
     same = texts.mapInArrow(_rows("exact"), columns).withColumn("lead", F.min(place).over(by_key)).filter(place != F.col("lead"))
-    same = c.written(same.select("doc", "seg", "lead").distinct(), "paragraph-equal")
+    same = c.written(same.select("doc", "dig", "seg", "lead").distinct(), "paragraph-equal")
     near = texts.mapInArrow(_rows("alike"), columns).withColumn("lead", F.min(place).over(by_key)).filter(place != F.col("lead"))
     # what repeats an earlier paragraph exactly is settled; only first occurrences look for paragraphs that are alike
-    near = c.written(near.distinct().join(same.select("doc", "seg"), ["doc", "seg"], "left_anti"), "paragraph-alike")
-    buckets = near.select("key", F.struct("doc", "seg").alias("node")).unionByName(near.select("key", F.col("lead").alias("node"))).distinct()
+    near = c.written(near.distinct().join(same.select("doc", "dig", "seg"), ["doc", "dig", "seg"], "left_anti"), "paragraph-alike")
+    buckets = near.select("key", place.alias("node")).unionByName(near.select("key", F.col("lead").alias("node"))).distinct()
     buckets = c.written(buckets, "paragraph-buckets")
-    needed = buckets.select("node.doc", "node.seg").distinct().groupBy("doc").agg(F.collect_set("seg").alias("segs"))
-    named = texts.withColumnRenamed("doc_id", "doc").join(needed, "doc").select("doc", "segs", "text").mapInArrow(_texts_of, "doc long, seg int, shingles array<long>")
-    sets = c.written(named.dropDuplicates(["doc", "seg"]).select(F.struct("doc", "seg").alias("node"), "shingles"), "paragraph-shingles")
+    needed = buckets.select("node.doc", "node.dig", "node.seg").distinct().groupBy("doc", "dig").agg(F.collect_set("seg").alias("segs"))
+    named = texts.withColumnRenamed("doc_id", "doc").join(needed, ["doc", "dig"]).select("doc", "dig", "segs", "text").mapInArrow(_texts_of, "doc long, dig long, seg int, shingles array<long>")
+    sets = c.written(named.dropDuplicates(["doc", "dig", "seg"]).select(place.alias("node"), "shingles"), "paragraph-shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -199,19 +325,22 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def blocks(met: DataFrame) -> DataFrame:
         rows = met.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "shingles")
-        return rows.mapInArrow(_block_links, "a struct<doc:long,seg:int>, b struct<doc:long,seg:int>, similarity double")
+        return rows.mapInArrow(_block_links, "a struct<doc:long,dig:long,seg:int>, b struct<doc:long,dig:long,seg:int>, similarity double")
 
     links = linked(buckets, alike, blocks, LEAST, "paragraph")
     classes = c.written(connected(links.select("a", "b"), "paragraph-components"), "paragraph-classes")
-    others = classes.filter(F.col("node") != F.col("root")).select("node.doc", "node.seg", F.col("root.doc").alias("first"))
-    equal = same.join(classes.withColumnRenamed("node", "lead"), "lead", "left").select("doc", "seg", F.coalesce("root.doc", "lead.doc").alias("first"))
+    others = classes.filter(F.col("node") != F.col("root")).select("node.doc", "node.dig", "node.seg", F.col("root.doc").alias("first"))
+    equal = same.join(classes.withColumnRenamed("node", "lead"), "lead", "left").select("doc", "dig", "seg", F.coalesce("root.doc", "lead.doc").alias("first"))
     return c.written(others.unionByName(equal), "paragraph-removals")
 
 
 def _judged(docs: DataFrame, names: list[str], types: str) -> DataFrame:
-    gone = removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    gone = gone.groupBy(F.col("doc").alias("_mr_doc")).agg(F.collect_list(F.struct("seg", "first")).alias("gone"))  # at most the paragraphs of one text
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_mr_doc"), "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    none = F.lit(None).cast("int")
+    gone = removals(texts).select("doc", "dig", "seg", none.alias("start"), none.alias("end"), "first")
+    gone = gone.unionByName(repeated_runs(texts).select("doc", "dig", none.alias("seg"), "start", "end", "first"))
+    gone = gone.groupBy(F.col("doc").alias("_mr_doc"), F.col("dig").alias("_mr_dig")).agg(F.collect_list(F.struct("seg", "start", "end", "first")).alias("gone"))  # at most the paragraphs and seeds of one text
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_mr_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mr_dig")), "left")
     return joined.select(*names, F.col("text").cast("string").alias("text"), "gone").mapInArrow(_cut, f"{types}, {RESULT}")
 
 

@@ -229,3 +229,42 @@ def test_local_search_empties_bins():
     # two sequences of 60 + 30 and 50 + 40 and one of 20: best fit can't see it, an exchange can
     lengths, bins = np.array([60, 30, 50, 40, 10, 10]), np.array([0, 0, 1, 1, 2, 2])
     assert len(np.unique(packing.improve(lengths, bins, 100))) == 2
+
+
+def test_passages_that_start_and_end_inside_sentences(spark):
+    # against words compared one by one: no paragraph takes part in what is wanted
+    rng = np.random.default_rng(12)
+    texts, want, passages = {}, {}, {}
+    for k in range(60):
+        stop = "" if k % 3 else "."
+        words = lambda n: [w + (stop if rng.random() < 0.08 else "") for w in prose(rng, n)]
+        passages[k] = words(51 + k % 20)
+        for d in (2 * k, 2 * k + 1):
+            before, after = words(rng.integers(1, 60)), words(rng.integers(1, 60))
+            texts[d] = " ".join([*before, *passages[k], *after])
+            want[d] = set(range(len(before), len(before) + len(passages[k]))) if d % 2 else set()
+    docs = spark.createDataFrame(odd_rows(texts.items()), ODD)
+    got = {d: set() for d in texts}
+    for r in paragraph_dedup.repeated_runs(docs).collect():
+        assert r["first"] == r["doc"] - 1
+        got[r["doc"]] |= set(range(r["start"], r["end"]))
+    assert got == want
+    for r in paragraph_dedup.spans(docs).collect():  # paragraphs that are alike may take a word beside it
+        d = r["doc_id"]
+        assert r["first_docs"] == ([d - 1] if d % 2 else []) and (d % 2 or r["text"] == texts[d]), r
+        assert len(want[d]) <= r["removed_words"] <= len(want[d]) + 8 and not (d % 2 and set(passages[d // 2]) & set(r["text"].split())), r
+
+
+def test_texts_of_one_id_keep_to_their_own_removals(spark):
+    rng = np.random.default_rng(13)
+    passage, other = " ".join(prose(rng, 60)), "\n".join(" ".join(prose(rng, 20)) for _ in range(9))
+    docs = spark.createDataFrame(odd_rows([(1, passage), (2, f"{passage}\nbehind it"), (2, other), (2, "one line")]), ODD)
+    got = Counter((r["doc_id"], r["text"]) for r in paragraph_dedup.spans(docs).collect())
+    assert got == Counter([(1, passage), (2, "behind it"), (2, other), (2, "one line")])
+
+
+def test_words_said_over_and_over(spark):
+    texts = {1: "w " * 3000, 2: "a b c " * 1000, 3: "w " * 100, 4: "x " + "w " * 60 + "y"}
+    got = {r["doc_id"]: r for r in paragraph_dedup.spans(spark.createDataFrame(odd_rows(texts.items()), ODD)).collect()}
+    assert got[3]["removed_words"] == 100 and got[4]["removed_words"] == 60 and got[4]["text"].split() == ["x", "y"]
+    assert 2900 < got[1]["removed_words"] < 3000 and 2900 < got[2]["removed_words"] < 3000
