@@ -71,9 +71,9 @@ def _histogram(batches):
     for batch in batches:
         for row in batch.to_pylist():
             q_ids, ids, scores = _scores(row)
-            low, width = np.frombuffer(row["q_low"], "<i8")[:, None], np.frombuffer(row["q_width"], "<i8")[:, None]
+            low, width, end = (np.frombuffer(row[k], "<i8")[:, None] for k in ("q_low", "q_width", "q_end"))
             at = (scores - low) // width
-            sound = (at >= 0) & (at < BINS) & (ids[None, :] != q_ids[:, None])
+            sound = (at >= 0) & (at < BINS) & (scores < end) & (ids[None, :] != q_ids[:, None])
             found = np.bincount((np.arange(len(q_ids))[:, None] * BINS + at)[sound], minlength=len(q_ids) * BINS)
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[some // BINS]), "bin": pa.array(some % BINS, pa.int64()), "n": pa.array(found[some], pa.int64())})
@@ -104,11 +104,11 @@ def _query_blocks(queries: DataFrame, bounds: DataFrame, blocks: int) -> DataFra
         held, number = [], None
 
         def block():
-            cols = dict(zip(("q_ids", "q_vectors", "q_low", "q_width"), zip(*held, strict=True), strict=True))
+            cols = dict(zip(("q_ids", "q_vectors", "q_low", "q_width", "q_end"), zip(*held, strict=True), strict=True))
             return pa.RecordBatch.from_pydict({"q_block": pa.array([number], pa.int64())} | {k: pa.array([np.asarray(v, "<i8").tobytes()], pa.binary()) for k, v in cols.items()})
 
         for batch in batches:
-            for at, *row in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            for at, *row in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 if held and (at != number or len(held) == 4 * QUERY_BLOCK):
                     yield block()
                     held = []
@@ -118,8 +118,8 @@ def _query_blocks(queries: DataFrame, bounds: DataFrame, blocks: int) -> DataFra
             yield block()
 
     joined = queries.join(bounds, "query_id").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dealt = joined.select("q_block", "query_id", "vector", "low", "width").repartition("q_block").sortWithinPartitions("q_block")
-    return c.written(dealt.mapInArrow(pack, "q_block long, q_ids binary, q_vectors binary, q_low binary, q_width binary"), "topk-queries")
+    dealt = joined.select("q_block", "query_id", "vector", "low", "width", "end").repartition("q_block").sortWithinPartitions("q_block")
+    return c.written(dealt.mapInArrow(pack, "q_block long, q_ids binary, q_vectors binary, q_low binary, q_width binary, q_end binary"), "topk-queries")
 
 
 def _meet(candidates: DataFrame, query_blocks: DataFrame, blocks: int) -> DataFrame:
@@ -139,7 +139,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     most = vectors.agg(F.max(norm(F.col("vector")))).first()[0] or 0.0
     reach = F.ceil(norm(F.col("vector")) * most * 1.000001 + 1)  # no inner product is greater
-    bounds = queries.select("query_id", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"), F.lit(k).cast("long").alias("wanted"))
+    bounds = queries.select("query_id", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"), (reach + 1).alias("end"), F.lit(k).cast("long").alias("wanted"))
     candidates = c.written(_blocks(vectors.select("vec_id", "vector"), BLOCK), "topk-blocks")
     order = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     bounds = c.written(bounds, "topk-bounds")
@@ -154,6 +154,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
         refined = open_.join(kth, "query_id", "left").select(
             "query_id",
             F.coalesce(F.col("low") + F.col("x.bin") * F.col("width"), F.col("low")).alias("low"),
+            # bins are rounded up, so the last ones reach past the open bin: what lies there is already counted in x.above
+            F.when(F.col("x").isNotNull(), F.least(F.col("end"), F.col("low") + (F.col("x.bin") + 1) * F.col("width"))).otherwise(F.col("end")).alias("end"),
             F.when(F.col("x").isNull() | (F.col("x.n") <= FEW), F.lit(1)).otherwise(F.ceil(F.col("width") / BINS)).cast("long").alias("width"),
             F.greatest(F.col("wanted") - F.coalesce(F.col("x.above"), F.lit(0)), F.lit(0)).alias("wanted"),
         )

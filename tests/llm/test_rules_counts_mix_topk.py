@@ -142,6 +142,19 @@ def test_topk_against_brute_force(spark):
     assert few.count() == 2
 
 
+def test_topk_of_unnormalised_vectors_with_a_dense_group(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-400, 400, (12, 8))
+    vectors = [(i, v.tolist()) for i, v in enumerate(centres)] + [(100 + 1000 * g + i, v) for g, m in enumerate(centres) for i, v in enumerate((m + rng.integers(-2, 3, (500, 8))).tolist())]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    got = topk.search(df.filter("vec_id < 12").withColumnRenamed("vec_id", "query_id"), df, 5).collect()
+    ids, matrix = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors])
+    for q in range(12):
+        scores = matrix @ centres[q]
+        best = [j for j in np.lexsort((ids, -scores)) if ids[j] != q][:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, ids[j], scores[j]) for n, j in enumerate(best)]
+
+
 def test_quantised(spark):
     values = [[0.5, -0.001], None, [1.0, None], [float("nan"), 0.0], [float("inf"), 0.0], []]
     df = spark.createDataFrame([(v,) for v in values], "e array<float>")
