@@ -3,7 +3,8 @@
 For every text: characters per token (byte-level BPE), the share of byte-fallback pieces (piece BPE), and the entropy of
 its tokens, besides plain counts of words, symbols, repeated lines and repeated 8-word windows. Rejection bands for the
 three measures are fitted per language over all texts (median and median deviation), so they follow the corpus at any
-size; texts of a language with few texts, or of no language, take the bands of their script.
+size; texts of a language with few texts, or of no language, take the bands of their script. The band of byte fallback
+has no lower end: a text that needs fewer byte pieces than its language is well fitted.
 
 Nulls: a null text counts as empty, has no word and is rejected; a null lang takes the script's band; a null doc_id is
 kept as it is. Repeated rows each get their own row. Extra columns are ignored.
@@ -26,7 +27,11 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 LEAST_TOKENS = 24
 #: Half-width of a band in median deviations, and the least texts that a language needs for a band of its own.
 WIDTH, LEAST_TEXTS = 8.0, 50
-#: Bounds that hold beside the fitted ones: no band rejects inside them (characters per token, entropy in bits) ...
+#: The least median deviation of byte fallback: among texts that need none it is 0.
+LEAST_FALLBACK = 0.01
+#: The measures that bands are fitted for.
+BANDED = ("chars_per_token", "fallback_share", "entropy")
+#: Bounds that hold beside the fitted ones: no band rejects inside them (characters per token, entropy in bits, the share of byte fallback).
 SAFE_CHARS, SAFE_ENTROPY, SAFE_FALLBACK = (1.9, 5.5), (4.5, 14.0), 0.15
 
 MEASURES = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double"
@@ -75,13 +80,46 @@ def base_counts(data: np.ndarray, limits: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+#: First code points of the ranges of letters and the script of each; "" has no letters (signs, digits, marks).
+_RANGES = [
+    (0x0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x250, "other"), (0x2B0, ""), (0x370, "greek"), (0x400, "cyrillic"),
+    (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x750, "arabic"), (0x780, "other"), (0x8A0, "arabic"), (0x900, "devanagari"),
+    (0x980, "bengali"), (0xA00, "gurmukhi"), (0xA80, "gujarati"), (0xB00, "oriya"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "kannada"), (0xD00, "malayalam"),
+    (0xD80, "sinhala"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"),
+    (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1E00, "latin"),
+    (0x1F00, "greek"), (0x2000, ""), (0x2C00, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"), (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"),
+    (0x2E00, ""), (0x2E80, "han"), (0x2FE0, ""), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, ""), (0x31F0, "kana"), (0x3200, ""), (0x3400, "han"), (0x4DC0, ""),
+    (0x4E00, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""),
+    (0xFE70, "arabic"), (0xFF00, ""), (0xFF21, "latin"), (0xFF3B, ""), (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, ""),
+    (0x10000, "other"), (0x1F000, ""), (0x20000, "han"), (0x40000, "other"),
+]
+_FIRST = np.array([x for x, _ in _RANGES])
+_SCRIPTS = np.array(sorted({x for _, x in _RANGES}))
+_OF_RANGE = np.searchsorted(_SCRIPTS, [x for _, x in _RANGES])
+
+
 def _script(data: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """latin, mixed or other, by the lead bytes of a text's letters."""
-    low = c.per_text(((data | 32) >= 97) & ((data | 32) <= 122), limits)
-    near = c.per_text((data >= 0xC3) & (data <= 0xC9), limits)
-    far = c.per_text(data >= 0xCA, limits)
-    share = far / np.maximum(low + near + far, 1)
-    return np.where(share < 0.2, "latin", np.where(share < 0.8, "mixed", "other"))
+    """The script of at least 0.8 of a text's letters (latin where less than 0.2 are of others, or there are none), else mixed; han with kana is japanese."""
+    n = len(limits) - 1
+    counts = np.zeros((n, len(_SCRIPTS)), np.int64)
+    latin, none, han, kana = np.searchsorted(_SCRIPTS, ["latin", "", "han", "kana"])
+    counts[:, latin] = c.per_text(((data | 32) >= 97) & ((data | 32) <= 122), limits)
+    at = np.flatnonzero(data >= 0xC2)
+    lead, padded = data[at].astype(np.int64), np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64) & 0x3F
+    one, two, three = (padded[at + j] for j in (1, 2, 3))
+    point = np.where(lead < 0xE0, (lead & 31) << 6 | one, np.where(lead < 0xF0, (lead & 15) << 12 | one << 6 | two, (lead & 7) << 18 | one << 12 | two << 6 | three))
+    of = _OF_RANGE[np.searchsorted(_FIRST, point, "right") - 1]
+    owner = np.searchsorted(limits, at, "right") - 1
+    counts += np.bincount(owner * len(_SCRIPTS) + of, minlength=counts.size).reshape(counts.shape)
+    counts[:, none] = 0
+    total = np.maximum(counts.sum(axis=1), 1)
+    japanese = 10 * counts[:, kana] >= np.maximum(counts[:, han] + counts[:, kana], 1)
+    counts[:, han] += counts[:, kana]
+    counts[:, kana] = 0
+    top = counts.argmax(axis=1)
+    names = np.where((top == han) & japanese, "japanese", _SCRIPTS[top])
+    found = np.where(counts[np.arange(n), top] >= 0.8 * total, names, "mixed")
+    return np.where(counts[:, latin] > 0.8 * total, "latin", np.where(counts.sum(axis=1) == 0, "latin", found))
 
 
 def _measure(batches):
@@ -116,11 +154,11 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _bands(df: DataFrame, key: str) -> DataFrame:
-    """Median and median deviation of characters per token and entropy for each value of key, over all rows."""
+    """Median and median deviation of the three measures for each value of key, over all rows."""
     long = df.filter((F.col("n_tokens") >= LEAST_TOKENS) & F.col(key).isNotNull())
-    mid = long.groupBy(key).agg(F.count("*").alias("_n"), *(F.percentile_approx(k, 0.5, 10000).alias(f"_m_{k}") for k in ("chars_per_token", "entropy")))
-    away = long.join(mid, key).groupBy(key, "_n", "_m_chars_per_token", "_m_entropy")
-    return away.agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"_m_{k}")), 0.5, 10000).alias(f"_d_{k}") for k in ("chars_per_token", "entropy")))
+    mid = long.groupBy(key).agg(F.count("*").alias("_n"), *(F.percentile_approx(k, 0.5, 10000).alias(f"_m_{k}") for k in BANDED))
+    away = long.join(mid, key).groupBy(key, "_n", *(f"_m_{k}" for k in BANDED))
+    return away.agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"_m_{k}")), 0.5, 10000).alias(f"_d_{k}") for k in BANDED))
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -136,8 +174,8 @@ def judged(measured: DataFrame) -> DataFrame:
         if k == "entropy":  # a text of n tokens has at most log2(n) bits
             low = F.least(low, 0.7 * F.log2(F.greatest(F.col("n_tokens"), F.lit(2))))
         inside = inside & F.col(k).between(low, high)
-    # the byte-fallback band belongs to texts that are written in the vocabulary's own script
-    inside = inside & ((F.col("script") != "latin") | (F.col("fallback_share") <= SAFE_FALLBACK))
+    mid, dev = (F.coalesce(F.col(f"_{x}_fallback_share"), F.col(f"_s_{x}_fallback_share"), F.lit(0.0)) for x in "md")
+    inside = inside & (F.col("fallback_share") <= F.greatest(mid + WIDTH * F.greatest(dev, F.lit(LEAST_FALLBACK)), F.lit(SAFE_FALLBACK)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "fertile": inside | (F.col("n_tokens") < LEAST_TOKENS)})
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertile", "n_tokens", "chars_per_token", "fallback_share", "entropy")

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,21 @@ def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     assert kept.columns == [x.split()[0] for x in DOCS.split(", ")] and kept.count() == 60
 
 
+def test_fertility_fits_byte_fallback_outside_latin(spark):
+    rng = np.random.default_rng(4)
+    def written(first, last, n=90):
+        return " ".join("".join(map(chr, rng.integers(first, last, 5))) for _ in range(n))
+
+    russian = [written(0x430, 0x450) for _ in range(60)]
+    unknown = [" ".join("".join(map(chr, rng.integers(0x13A0, 0x13F0, 5))) for _ in range(90)) for _ in range(2)]
+    docs = rows(*russian, unknown[0], written(0x430, 0x450), lang="ru") + [(100 + i, t, None, "s", 1, 7, "x") for i, t in enumerate([written(0x430, 0x450), unknown[1]])]
+    got = {r["doc_id"]: r for r in fertility.score_documents(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[60]["fallback_share"] > 0.5 > got[61]["fallback_share"]
+    assert not got[60]["fertile"] and all(got[i]["fertile"] for i in (*range(60), 61, 100))
+    texts = [russian[0], written(0x4E00, 0x5000), written(0xE01, 0xE2F), written(0x5D0, 0x5EA), written(0x3041, 0x3090), "plain words", "", "12 34", "a b " * 9 + written(0x430, 0x450, 2)]
+    assert list(fertility._script(*c.buffers(pa.array(texts)))) == ["cyrillic", "han", "thai", "hebrew", "japanese", "latin", "latin", "latin", "mixed"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert fertility.score_documents(none).count() == fertility.keep_documents(none).count() == mixing.mix(none).count() == 0
