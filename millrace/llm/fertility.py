@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -34,7 +34,7 @@ BANDED = ("chars_per_token", "fallback_share", "entropy")
 #: Bounds that hold beside the fitted ones: no band rejects inside them (characters per token, entropy in bits, the share of byte fallback).
 SAFE_CHARS, SAFE_ENTROPY, SAFE_FALLBACK = (1.9, 5.5), (4.5, 14.0), 0.15
 
-MEASURES = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double"
+MEASURES = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double, digest binary"
 
 
 def base_counts(data: np.ndarray, limits: np.ndarray) -> dict[str, np.ndarray]:
@@ -141,16 +141,17 @@ def _measure(batches):
         n_chars = c.per_text((data & 0xC0) != 0x80, limits)
         columns = [part.column("doc_id"), part.column("lang"), pa.array(_script(data, limits).tolist(), pa.string())]
         columns += [pa.array(found[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        columns += [pa.array(n_ids.astype(np.int64)), pa.array(n_chars / np.maximum(n_ids, 1)), pa.array(np.asarray(byte_share, float)), pa.array(entropy.astype(float))]
+        columns += [pa.array(n_ids.astype(np.int64)), pa.array(n_chars / np.maximum(n_ids, 1)), pa.array(np.asarray(byte_share, float)), pa.array(entropy.astype(float)), part.column("digest")]
         names = [x.split()[0] for x in MEASURES.split(", ")]
         batch = pa.RecordBatch.from_arrays(columns, names=names)
         schema = schema or batch.schema
         yield batch
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row a document with its counts and its three measures."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_measure, MEASURES)
+def measures(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """One row a document with its counts and its three measures, and with digest where one is wanted."""
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), digest.alias("digest")).mapInArrow(_measure, MEASURES)
 
 
 def _bands(df: DataFrame, key: str) -> DataFrame:
@@ -161,8 +162,8 @@ def _bands(df: DataFrame, key: str) -> DataFrame:
     return away.agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"_m_{k}")), 0.5, 10000).alias(f"_d_{k}") for k in BANDED))
 
 
-def judged(measured: DataFrame) -> DataFrame:
-    """Adds base_failed, fertile (inside all bands) and kept; measured must be a written table, it is read three times."""
+def judged(measured: DataFrame, *more: str) -> DataFrame:
+    """Adds base_failed, fertile (inside all bands) and kept, and carries the columns named in more; measured must be a written table, it is read three times."""
     lang = _bands(measured, "lang").filter(F.col("_n") >= LEAST_TEXTS)
     script = _bands(measured, "script")
     script = script.select("script", *(F.col(x).alias(f"_s{x}") for x in script.columns if x != "script"))
@@ -179,7 +180,7 @@ def judged(measured: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "fertile": inside | (F.col("n_tokens") < LEAST_TOKENS)})
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertile", "n_tokens", "chars_per_token", "fallback_share", "entropy")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("fertile")).select(*names)
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("fertile")).select(*names, *more)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -187,7 +188,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns. Rows are matched by doc_id and text."""
-    marked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    kept = judged(c.written(measures(marked), "fertility")).filter("kept").select(F.col("doc_id").alias("_mr_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_mr_id"]), "left_semi")
+    """The rows of docs that the rules keep, with docs' own columns. Rows are matched by doc_id, text and lang."""
+    kept = judged(c.written(measures(docs, c.digest(F.col("text").cast("string"))), "fertility"), "lang", "digest").filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_mr_id"), F.col("lang").alias("_mr_lang"), F.col("digest").alias("_mr_digest")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_mr_id"]) & docs["lang"].cast("string").eqNullSafe(kept["_mr_lang"])
+    return docs.join(kept, same & (c.digest(docs["text"].cast("string")) == kept["_mr_digest"]), "left_semi")

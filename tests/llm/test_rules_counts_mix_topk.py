@@ -81,6 +81,15 @@ def test_fertility_fits_byte_fallback_outside_latin(spark):
     assert list(fertility._script(*c.buffers(pa.array(texts)))) == ["cyrillic", "han", "thai", "hebrew", "japanese", "latin", "latin", "latin", "mixed"]
 
 
+def test_verdicts_keep_to_their_own_text(spark):
+    rng = np.random.default_rng(7)
+    common = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
+    clean = [" ".join(rng.choice(common, 80)) for _ in range(60)]
+    odd = [(i, t, "en", "s", 1, 7, "x") for i in (None, 3) for t in (clean[0], "too short", None)]
+    kept = fertility.keep_documents(spark.createDataFrame(rows(*clean) + odd, DOCS)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept) == sorted([*((False, i, t) for i, t in enumerate(clean)), (True, 0, clean[0]), (False, 3, clean[0])])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert fertility.score_documents(none).count() == fertility.keep_documents(none).count() == mixing.mix(none).count() == 0
