@@ -2,8 +2,9 @@
 
 Character n-grams of 1 to 3 lower-cased code points are hashed to BUCKETS features. Document frequencies are counted over
 all training documents; the weights are trained by follow-the-regularised-leader with an elastic net on a bounded sample
-of them (about SAMPLE rows, taken by hash), an eighth of which is kept back to calibrate a temperature. Every whole text
-is scored by all its n-grams, weighted by frequency and rarity and scaled to unit length.
+of them (about SAMPLE rows, taken by hash, as many of each language, all rows of one that has fewer), of which every
+eighth row of a language is kept back to calibrate a temperature, each weighted by its language's share of all rows.
+Every whole text is scored by all its n-grams, weighted by frequency and rarity and scaled to unit length.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang teaches nothing; a null doc_id falls in
 bucket 0 and is kept. Without any training row all is `und`. Repeated rows each get their row. Extra columns are ignored.
@@ -21,6 +22,8 @@ from . import sparse_lr
 
 #: Hash features, n-gram lengths, training rows at most (about), languages at most, characters worked on at once.
 BUCKETS, GRAMS, SAMPLE, MOST_LANGUAGES, PIECE = 1 << 15, (1, 2, 3), 4096, 1024, 1 << 20
+#: Training rows of a language at least (about), where it has as many.
+FEWEST = 16
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -78,8 +81,11 @@ def fit(docs: DataFrame, training: Column) -> dict:
         df[r["feature"]] = r["df"]  # BUCKETS rows at most
     rarity = np.log((1 + n) / (1 + df)) + 1.0
     held = spark.sparkContext.broadcast((languages, rarity))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    sample = taught.filter(place < F.lit(int(min(1.0, SAMPLE / n) * (1 << 20)) + 1))
+    each = max(SAMPLE / len(counted), FEWEST)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40))
+    parts = spark.createDataFrame([(x, int(min(1.0, each / k) * (1 << 40)) + 1) for x, k in counted], "lang string, _part long")
+    sample = taught.join(F.broadcast(parts), "lang").filter(place < F.col("_part"))
+    share = np.array([k for _, k in sorted(counted)], float)
 
     def train(batches):
         names, rare = held.value
@@ -91,12 +97,16 @@ def fit(docs: DataFrame, training: Column) -> dict:
                     rows.append(features(t, rare))
                     labels.append(number[lang])
         y = np.asarray(labels, np.int64)
-        back = np.arange(len(rows)) % 8 == 7
+        taken = np.bincount(y, minlength=len(names))
+        nth = np.zeros(len(y), np.int64)  # number of each row among those of its language
+        order = np.argsort(y, kind="stable")
+        nth[order] = np.arange(len(y)) - np.repeat(np.cumsum(taken) - taken, taken)
+        back = nth % 8 == 7
         w = sparse_lr.fit_ftrl([r for r, b in zip(rows, back, strict=True) if not b], y[~back], len(names), BUCKETS)
         logits = np.asarray([x @ w[at] + w[-1] for (at, x), b in zip(rows, back, strict=True) if b]).reshape(-1, len(names))
-        yield pa.RecordBatch.from_pydict({"weights": pa.array([w.astype("<f4").tobytes()], pa.binary()), "temperature": pa.array([sparse_lr.fit_temperature(logits, y[back])])})
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([w.astype("<f4").tobytes()], pa.binary()), "temperature": pa.array([sparse_lr.fit_temperature(logits, y[back], (share / np.maximum(taken, 1))[y[back]])])})
 
-    # about SAMPLE rows at any input size, in a fixed order
+    # about SAMPLE rows (or FEWEST of each language) at any input size, in a fixed order
     learnt = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "lang").mapInArrow(train, "weights binary, temperature double").first()
     return {"languages": languages, "rarity": rarity, "weights": np.frombuffer(learnt["weights"], "<f4").reshape(BUCKETS + 1, -1), "temperature": learnt["temperature"]}
 

@@ -41,14 +41,14 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, clas
     return weight(np.arange(features + 1))
 
 
-def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss on examples that the weights have not seen: golden-section search on its log."""
+def fit_temperature(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The temperature of least (weighted) log loss on examples that the weights have not seen: golden-section search on its log."""
     if not len(labels):
         return 1.0
 
     def loss(t):
         p = softmax(logits / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        return -np.average(np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)), weights=weights)
 
     low, high, ratio = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(50):

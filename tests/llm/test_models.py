@@ -45,6 +45,17 @@ def test_language_of_held_out_documents(spark):
     assert len(right) > 100 and np.mean(right) >= 0.95
 
 
+def test_language_that_is_rare_beside_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 128)
+    rng = np.random.default_rng(3)
+    written = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(12))
+    docs = [(i, written("abcdefgh"), "hot") for i in range(6000)] + [(10000 + i, written("stuvwxyz"), "rare") for i in range(12)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.fit(rows, F.col("doc_id") < 10009)
+    asked = rows.filter("doc_id >= 10009 or doc_id < 20").select("doc_id", F.lit(True).alias("held_out"), "text")
+    assert all(r["lang_pred"] == ("hot" if r["doc_id"] < 10000 else "rare") for r in language_id.predict(asked, model).collect())
+
+
 def test_language_ignores_lang_source_and_id_when_predicting(spark):
     docs = c.documents(spark, "/root/testdata/sf0.001")
     model = language_id.fit(docs, F.lit(True))
