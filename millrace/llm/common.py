@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Keys of more than one in HOT rows are joined by broadcast; rows and bytes of text that another table may have to be broadcast.
+HOT, SMALL_ROWS, SMALL_BYTES = 512, 20000, 1 << 22
 #: A word is a run of anything but these bytes (space, tab, newline, vertical tab, form feed, return).
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -32,14 +35,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests, one machine) a local one is set."""
-    sc = spark.sparkContext
-    folder = sc._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or "file:/tmp/millrace-checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The shared folder of spark.checkpoint.dir; where it is unset a local one is set, which only local mode may use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file:" + tempfile.mkdtemp(prefix="millrace-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +57,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_key(rows: DataFrame, keyed: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined by key to the one row of keyed with their key.
+
+    keyed must be a written table whose column n counts the rows of each key. Rows of keys that hold more than one row in
+    HOT stay where they are, for at most HOT rows of keyed are then broadcast; the others are shuffled.
+    """
+    common = F.col("n") > n_rows / HOT
+    return rows.join(F.broadcast(keyed.filter(common)), key).unionByName(rows.join(keyed.filter(~common), key))
+
+
+def small(df: DataFrame, text: str | None = None) -> bool:
+    """Whether df (a written table) may be broadcast: SMALL_ROWS rows at most, whose text column holds SMALL_BYTES at most."""
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    n, size = df.agg(F.count("*"), size).first()
+    return n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES
+
+
 def digest(text: Column) -> Column:
     """16 bytes that stand for a text; a null text counts as the empty one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

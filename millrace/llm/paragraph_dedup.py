@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -36,8 +36,6 @@ WORDS, LEAST, RECALL, RUN = 5, 0.8, 0.95, 16
 LONG, EVERY = 24, 8
 #: Neighbouring runs of RUN words among which one is a seed, and the words compared to each side of it: neighbouring seeds of a passage are nearer.
 SPAN = 32
-#: Keys of more than one in HOT rows are joined by broadcast.
-HOT = 512
 
 
 def bands_for(least: float, recall: float, rows: int = 1) -> int:
@@ -168,7 +166,7 @@ def _extended(batches):
 
 
 def _rows(kind: str):
-    """Rows of a chunk: exact hashes or MinHash keys, one row a key for the first place in the chunk."""
+    """Rows of a chunk: the exact hash of each paragraph, or its MinHash keys."""
 
     def run(batches):
         for part in c.text_chunks(batches):
@@ -284,34 +282,31 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     found = c.written(texts.mapInArrow(_seed_rows, "key long, doc long, dig long, pos int"), "paragraph-seeds")
     twice = found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    named = _with_key(found, c.written(twice, "paragraph-recurring"), found.count()).groupBy("doc", "dig").agg(F.collect_set(F.struct("pos", "key")).alias("named"))
+    named = c.with_key(found, c.written(twice, "paragraph-recurring"), "key", found.count()).groupBy("doc", "dig").agg(F.collect_set(F.struct("pos", "key")).alias("named"))
     texts = texts.withColumnRenamed("doc_id", "doc").join(named, ["doc", "dig"]).select("doc", "dig", "named", "text")
     sides = c.written(texts.mapInArrow(_sides, "key long, doc long, dig long, pos int, sides binary"), "paragraph-sides")
     lead = sides.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dig", "pos", "sides")).alias("lead"))
-    met = _with_key(sides, c.written(lead, "paragraph-leads"), sides.count())
+    met = c.with_key(sides, c.written(lead, "paragraph-leads"), "key", sides.count())
     met = met.filter(F.struct("doc", "dig", "pos") != F.struct("lead.doc", "lead.dig", "lead.pos"))
     met = met.select("doc", "dig", "pos", "sides", F.col("lead.doc").alias("first"), F.col("lead.sides").alias("first_sides"))
     return met.mapInArrow(_extended, "doc long, dig long, start int, end int, first long").distinct()
 
 
-def _with_key(rows: DataFrame, keyed: DataFrame, n_rows: int) -> DataFrame:
-    """rows joined by key to the one row of keyed with their key; the rows of common keys (at most HOT of them) stay where they are."""
-    common = F.col("n") > n_rows / HOT
-    hot = F.broadcast(keyed.filter(common))
-    return rows.join(hot, "key").unionByName(rows.join(keyed.filter(~common), "key"))
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """doc, dig, seg, first: paragraphs that repeat an earlier one, and the document that keeps it. docs: doc_id, text."""
     texts = _texts(docs)
     place = F.struct("doc", "dig", "seg")
     columns = "key long, doc long, dig long, seg int"
-    by_key = Window.partitionBy("key")
-    same = texts.mapInArrow(_rows("exact"), columns).withColumn("lead", F.min(place).over(by_key)).filter(place != F.col("lead"))
-    same = c.written(same.select("doc", "dig", "seg", "lead").distinct(), "paragraph-equal")
-    near = texts.mapInArrow(_rows("alike"), columns).withColumn("lead", F.min(place).over(by_key)).filter(place != F.col("lead"))
+
+    def repeats(kind: str) -> DataFrame:
+        """Paragraphs that share a key with an earlier one, and the first of that key; keys that occur once go before any join."""
+        rows = c.written(texts.mapInArrow(_rows(kind), columns), f"paragraph-{kind}-keys")
+        leads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("lead")).filter(F.col("n") > 1)
+        return c.with_key(rows, c.written(leads, f"paragraph-{kind}-leads"), "key", rows.count()).filter(place != F.col("lead")).drop("n")
+
+    same = c.written(repeats("exact").select("doc", "dig", "seg", "lead").distinct(), "paragraph-equal")
     # what repeats an earlier paragraph exactly is settled; only first occurrences look for paragraphs that are alike
-    near = c.written(near.distinct().join(same.select("doc", "dig", "seg"), ["doc", "dig", "seg"], "left_anti"), "paragraph-alike")
+    near = c.written(repeats("alike").distinct().join(same.select("doc", "dig", "seg"), ["doc", "dig", "seg"], "left_anti"), "paragraph-alike")
     buckets = near.select("key", place.alias("node")).unionByName(near.select("key", F.col("lead").alias("node"))).distinct()
     buckets = c.written(buckets, "paragraph-buckets")
     needed = buckets.select("node.doc", "node.dig", "node.seg").distinct().groupBy("doc", "dig").agg(F.collect_set("seg").alias("segs"))

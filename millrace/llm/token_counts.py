@@ -52,7 +52,11 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs; new counts are appended to the cache folder."""
     spark, version = docs.sparkSession, tk.version(tokenizer)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("content", c.digest(F.col("text")))
+    keys = c.written(texts.groupBy("content").agg(F.count("*").alias("n")), "token-contents")
     misses = texts.select("content", "text").join(stored(spark, cache, version), "content", "left_anti").dropDuplicates(["content"])
     misses.mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    counted = texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(stored(spark, cache, version), "content")
+    # contents that many rows share are joined by broadcast: their rows stay where they are
+    counts = c.written(keys.join(stored(spark, cache, version), "content"), "token-counts")
+    rows = texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
+    counted = c.with_key(rows, counts, "content", keys.agg(F.sum("n")).first()[0] or 0)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
