@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: Weights that the sources take in turn, the most that a source may be repeated, and how many sources a mix may name.
-WEIGHTS, MOST_EPOCHS, MOST_SOURCES = (1, 2, 3), 3, 1_000_000
+#: Weights that the sources take in turn, and the most that a source may be repeated.
+WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
 #: Bits of the hash, and bits that one histogram level resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
 
@@ -36,21 +36,34 @@ def hash_of(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS) -> dict[str | None, float]:
-    """Words that each source shall give: all words shared by weight, no source over most times its own, the excess shared again."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: float(most * n) for s, n in order}
-    left, open_, out = float(sum(n for _, n in order)), [s for s, _ in order], {}
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if share * weight[s] > cap[s]]
-        if not over:
-            return out | {s: share * weight[s] for s in open_}
-        out |= {s: cap[s] for s in over}
-        left -= sum(cap[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
+def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """Adds target to the rows of sources (_source, source, source_size, n; a row a source): the words that each shall give.
+
+    All words are shared by weight, no source gets over most times its own, the excess is shared again. A source is full
+    where level * weight passes its cap, so only two sums a round reach the driver, and the level only rises.
+    """
+    # the place of each source in the order of code points, null last: rows before its partition and rows before it there
+    ordered = sources.orderBy(F.col("source").isNull(), F.col("source"))
+    ordered = c.written(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "mix-sources")
+    parts = sorted((r["_part"], r["count"], r["first"]) for r in ordered.groupBy("_part").agg(F.count("*").alias("count"), F.min("_at").alias("first")).collect())
+    shift, before = [], 0
+    for part, n, first in parts:  # one row a shuffle partition
+        shift.append((part, before - first))
+        before += n
+    shifts = sources.sparkSession.createDataFrame(shift, "_part int, _shift long")
+    place = F.pmod(F.col("_at") + F.col("_shift"), F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place + 1)
+    cap = F.lit(float(most)) * F.col("source_size")
+    weighed = c.written(ordered.join(F.broadcast(shifts), "_part").select("_source", "source", "source_size", "n", weight.alias("_weight"), cap.alias("_cap")), "mix-weights")
+    total = weighed.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.col("_cap") < F.lit(level) * F.col("_weight")
+        held = weighed.agg(F.count_if(over), F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("_weight")))).first()
+        if held[0] == full or not held[2]:
+            break
+        full, level = held[0], (total - (held[1] or 0.0)) / held[2]
+    return weighed.select("_source", "source", "source_size", "n", F.least(F.lit(level) * F.col("_weight"), F.col("_cap")).alias("target"))
 
 
 def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -58,37 +71,38 @@ def _thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
     plan: source, epochs, extra (words still wanted after whole epochs). Each level keeps one open bucket a source.
     """
-    at = plan.select("_source", F.col("extra").alias("_left"), F.lit(0).cast("long").alias("_low"))
+    few, rows = c.small(plan, "_source"), plan.agg(F.sum("n")).first()[0] or 0
+    at = plan.select("_source", "n", F.col("extra").alias("_left"), F.lit(0).cast("long").alias("_low"))
     order = Window.partitionBy("_source").orderBy("_bucket")
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        inside = sized.join(F.broadcast(at), "_source")  # a row a source, MOST_SOURCES at most
+        inside = _joined(sized, at, few, rows)
         inside = inside.filter(F.shiftrightunsigned("_hash", shift + LEVEL_BITS) == F.shiftrightunsigned("_low", shift + LEVEL_BITS))
-        sums = inside.groupBy("_source", "_left", "_low", F.shiftrightunsigned("_hash", shift).alias("_bucket")).agg(F.sum("size").alias("_sum"))
+        sums = inside.groupBy("_source", "n", "_left", "_low", F.shiftrightunsigned("_hash", shift).alias("_bucket")).agg(F.sum("size").alias("_sum"))
         # at most 2^LEVEL_BITS buckets a source
         running = sums.withColumn("_before", F.sum("_sum").over(order) - F.col("_sum"))
         # the bucket in which the budget runs out, or the last one
-        crossing = running.filter(F.col("_before") <= F.col("_left")).groupBy("_source").agg(F.max_by(F.struct("_bucket", "_before", "_left", "_sum"), "_bucket").alias("_x"))
-        at = c.written(crossing.select("_source", (F.col("_x._left") - F.col("_x._before")).alias("_left"), F.shiftleft("_x._bucket", shift).alias("_low"), F.col("_x._sum").alias("_sum")), f"mix-level{level}")
+        crossing = running.filter(F.col("_before") <= F.col("_left")).groupBy("_source", "n").agg(F.max_by(F.struct("_bucket", "_before", "_left", "_sum"), "_bucket").alias("_x"))
+        at = c.written(crossing.select("_source", "n", (F.col("_x._left") - F.col("_x._before")).alias("_left"), F.shiftleft("_x._bucket", shift).alias("_low"), F.col("_x._sum").alias("_sum")), f"mix-level{level}")
         last = at
-        at = at.select("_source", "_left", "_low")
+        at = at.select("_source", "n", "_left", "_low")
     # one hash value is left open: it is taken if that comes nearer to the budget
     return last.select("_source", F.when(F.col("_left") * 2 >= F.col("_sum"), F.col("_low") + 1).otherwise(F.col("_low")).alias("_threshold"))
 
 
-def _planned(sized: DataFrame, weights: Sequence[float]) -> DataFrame:
-    spark = sized.sparkSession
-    totals = sized.groupBy("_source", "source").agg(F.sum("size").alias("source_size")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"a mix names {MOST_SOURCES} sources at most")
-    wanted = targets([(r["source"], r["source_size"]) for r in totals], weights)
-    rows = []
-    for r in totals:
-        t, s = wanted[r["source"]], r["source_size"]
-        epochs = min(int(t // s), MOST_EPOCHS) if s else 0
-        rows.append((r["_source"], s, float(t), epochs, float(t - epochs * s)))
-    plan = spark.createDataFrame(rows, "_source string, source_size long, target double, epochs long, extra double")
-    return plan.join(_thresholds(sized, plan), "_source", "left")
+def _joined(rows: DataFrame, plan: DataFrame, few: bool, n_rows: int) -> DataFrame:
+    """rows with the one row of plan (a written table) of their source: broadcast where plan is small, else only the sources of many rows are."""
+    return rows.join(F.broadcast(plan), "_source") if few else c.with_key(rows, plan, "_source", n_rows)
+
+
+def _planned(sized: DataFrame, weights: Sequence[float]) -> tuple[DataFrame, bool, int]:
+    """_source, n, source_size, target, epochs, _threshold of each source; whether it may be broadcast, and how many rows all sources have."""
+    totals = c.written(sized.groupBy("_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-totals")
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0).cast("long")
+    wanted = targets(totals, weights).withColumn("epochs", epochs).withColumn("extra", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = c.written(wanted, "mix-plan")
+    out = c.written(plan.join(_thresholds(sized, plan), "_source", "left").drop("source", "extra"), "mix-thresholds")
+    return out, c.small(out, "_source"), out.agg(F.sum("n")).first()[0] or 0
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -102,15 +116,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken (words taken, repeats counted) of every row."""
     sized = c.written(_sized(docs), "mix-sizes")
     copies = F.col("epochs") + F.when(F.col("_hash") < F.col("_threshold"), 1).otherwise(0)
-    return sized.join(F.broadcast(_planned(sized, weights)), "_source").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return _joined(sized, *_planned(sized, weights)).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def sample_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The rows of docs as the mix takes them: a row as often as it is taken, with docs' own columns."""
-    plan = _planned(c.written(_sized(docs), "mix-sizes"), weights).select("_source", "epochs", "_threshold")
-    plan = plan.select(F.col("_source").alias("_mr_source"), F.col("epochs").alias("_mr_epochs"), F.col("_threshold").alias("_mr_threshold"))
-    source = docs["source"].cast("string")
+    plan, few, n_rows = _planned(c.written(_sized(docs), "mix-sizes"), weights)
+    source = F.col("_mr_row.source").cast("string")
     key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
-    copies = F.col("_mr_epochs") + F.when(hash_of(docs["doc_id"].cast("long")) < F.col("_mr_threshold"), 1).otherwise(0)
-    joined = docs.join(F.broadcast(plan), key == F.col("_mr_source")).filter(copies > 0)
-    return joined.withColumn("_mr_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(docs[x] for x in docs.columns))
+    # a row travels as one column, so that none of its names can clash with the plan's
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("_mr_row")).withColumn("_source", key)
+    copies = F.col("epochs") + F.when(hash_of(F.col("_mr_row.doc_id").cast("long")) < F.col("_threshold"), 1).otherwise(0)
+    joined = _joined(rows, plan, few, n_rows).filter(copies > 0)
+    return joined.withColumn("_mr_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_mr_row.*")

@@ -1,14 +1,16 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors are packed in blocks and every block of queries meets every block of candidates once a pass; queries are never
-broadcast whole. A pass scores everything and sums, for each query, how many scores fall into equal bins of the range
-that is still open; the bin that holds the kth best is opened next, until it is one score wide or holds few scores. The
-last pass keeps the scores at or above that bound, at most k of them a block, ordered by score and then id, so that ties
-at the kth place are broken by the smaller id exactly and thousands of equal vectors cost no more than k rows a block.
-
-Vectors that are null, or hold a null or non-finite component, or differ from the dimension of most, take no part; an
-empty vector scores 0. A null id takes no part. A repeated id counts as a vector each time; as a query it is one, with the
-least of its vectors, and no row of its own id is its candidate. Fewer than k candidates give fewer rows.
+Vectors are packed in blocks once. Queries go in rounds of ROUND, a bounded number of bytes, which are broadcast; the
+blocks of candidates stay where they are. A pass scores everything and sums, for each query, how many scores fall into
+equal bins of the range that is still open; a task adds up its own blocks first, so what is shuffled is a histogram a
+task. The bin that holds the kth best is opened next, until it is one score wide or holds few scores. The last pass keeps
+the scores at or above that bound, at most k of them a task, ordered by score and then id, so that ties at the kth place
+are broken by the smaller id exactly and thousands of equal vectors cost no more than k rows a task.
+
+Vectors that are null, or hold a null or non-finite component, take no part. Of two vectors of unlike length the shorter
+one counts as filled up with zeros; an empty vector scores 0. A null id takes no part. A repeated id counts as a vector
+each time; as a query it is one, with the least of its vectors, and no row of its own id is its candidate. Fewer than k
+candidates give fewer rows.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: Vectors in a block of candidates and of queries, bins of a histogram, and the most scores that a bin may leave open.
-BLOCK, QUERY_BLOCK, BINS, FEW = 8192, 512, 512, 64
+#: Vectors in a block of candidates, queries and bytes of query vectors in a round at most, bins of a histogram, and the most scores that a bin may leave open.
+BLOCK, ROUND, ROUND_BYTES, BINS, FEW = 2048, 2048, 1 << 25, 512, 64
 
 
 def quantised(vector: Column) -> Column:
@@ -54,78 +56,101 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(lambda batches: _pack(batches, size), "ids binary, vectors binary, n int")
 
 
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and the integer score matrix of a pair of blocks."""
-    c.one_blas_thread()
-    q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-    q, v = (np.frombuffer(row[k], "<i8").reshape(n, -1) for k, n in (("q_vectors", len(q_ids)), ("vectors", len(ids))))
-    most = max(q.shape[1], 1) * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0))
+def _scores(q: np.ndarray, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate ids and the integer scores of the queries q against a block of candidates."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    v = np.frombuffer(row["vectors"], "<i8").reshape(len(ids), -1)
+    dim = min(q.shape[1], v.shape[1])  # beyond it one of the two is 0
+    q, v = q[:, :dim], v[:, :dim]
+    most = max(dim, 1) * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0))
     if most < 2**53:  # exact in doubles, and a BLAS product
-        return q_ids, ids, (q.astype(float) @ v.T.astype(float)).astype(np.int64)
+        return ids, (q.astype(float) @ v.T.astype(float)).astype(np.int64)
     if most >= 2**63:
         raise OverflowError("an inner product may not fit 64 bits")
-    return q_ids, ids, q @ v.T
+    return ids, q @ v.T
 
 
-def _histogram(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            q_ids, ids, scores = _scores(row)
-            low, width, end = (np.frombuffer(row[k], "<i8")[:, None] for k in ("q_low", "q_width", "q_end"))
-            at = (scores - low) // width
-            sound = (at >= 0) & (at < BINS) & (scores < end) & (ids[None, :] != q_ids[:, None])
-            found = np.bincount((np.arange(len(q_ids))[:, None] * BINS + at)[sound], minlength=len(q_ids) * BINS)
-            some = np.flatnonzero(found)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[some // BINS]), "bin": pa.array(some % BINS, pa.int64()), "n": pa.array(found[some], pa.int64())})
+def _queries_of(rows: list, dim: int) -> dict[str, np.ndarray]:
+    """Ids, vectors (filled up with zeros) and open ranges of a round's queries."""
+    q = np.zeros((len(rows), dim), np.int64)
+    for i, r in enumerate(rows):
+        q[i, : len(r["vector"])] = r["vector"]
+    return {"q": q} | {k: np.array([r[k] for r in rows], np.int64) for k in ("query_id", "low", "width", "end")}
 
 
-def _survivors(k: int):
+def _histogram(held):
     def run(batches):
+        c.one_blas_thread()
+        m = held.value
+        n, low, width, end = len(m["q"]), *(m[k][:, None] for k in ("low", "width", "end"))
+        found = np.zeros(n * BINS, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, ids, scores = _scores(row)
-                low = np.frombuffer(row["q_low"], "<i8")
-                out_q, out_v, out_s = [], [], []
-                for i, q in enumerate(q_ids):
-                    fit = np.flatnonzero((scores[i] >= low[i]) & (ids != q))
-                    fit = fit[np.lexsort((ids[fit], -scores[i][fit]))[:k]]
-                    out_q.append(np.full(len(fit), q))
-                    out_v.append(ids[fit])
-                    out_s.append(scores[i][fit])
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_v)), "score": pa.array(np.concatenate(out_s))})
+                ids, scores = _scores(m["q"], row)
+                at = (scores - low) // width
+                sound = (at >= 0) & (at < BINS) & (scores < end) & (ids[None, :] != m["query_id"][:, None])
+                found += np.bincount((np.arange(n)[:, None] * BINS + at)[sound], minlength=n * BINS)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(m["query_id"][some // BINS]), "bin": pa.array(some % BINS, pa.int64()), "n": pa.array(found[some], pa.int64())})
 
     return run
 
 
-def _query_blocks(queries: DataFrame, bounds: DataFrame, blocks: int) -> DataFrame:
-    """Blocks of queries with the open range of each, numbered by a hash of the id."""
+def _survivors(held, k: int):
+    def run(batches):
+        c.one_blas_thread()
+        m = held.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in m["q"]]
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, scores = _scores(m["q"], row)
+                for i, q in enumerate(m["query_id"]):
+                    fit = np.flatnonzero((scores[i] >= m["low"][i]) & (ids != q))
+                    if len(fit):
+                        v, s = np.append(best[i][0], ids[fit]), np.append(best[i][1], scores[i][fit])
+                        top = np.lexsort((v, -s))[:k]
+                        best[i] = v[top], s[top]
+        counts = [len(v) for v, _ in best]
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(m["query_id"], counts)), "vec_id": pa.array(np.concatenate([*(v for v, _ in best), np.zeros(0, np.int64)])), "score": pa.array(np.concatenate([*(s for _, s in best), np.zeros(0, np.int64)]))})
 
-    def pack(batches):
-        held, number = [], None
+    return run
 
-        def block():
-            cols = dict(zip(("q_ids", "q_vectors", "q_low", "q_width", "q_end"), zip(*held, strict=True), strict=True))
-            return pa.RecordBatch.from_pydict({"q_block": pa.array([number], pa.int64())} | {k: pa.array([np.asarray(v, "<i8").tobytes()], pa.binary()) for k, v in cols.items()})
 
-        for batch in batches:
-            for at, *row in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
-                if held and (at != number or len(held) == 4 * QUERY_BLOCK):
-                    yield block()
-                    held = []
-                number = at
-                held.append(row)
-        if held:
-            yield block()
-
-    joined = queries.join(bounds, "query_id").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dealt = joined.select("q_block", "query_id", "vector", "low", "width", "end").repartition("q_block").sortWithinPartitions("q_block")
-    return c.written(dealt.mapInArrow(pack, "q_block long, q_ids binary, q_vectors binary, q_low binary, q_width binary, q_end binary"), "topk-queries")
+def _round(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of the queries of one round (ROUND at most): query_id, rank, vec_id, score."""
+    spark = candidates.sparkSession
+    rows = [r.asDict() | {"wanted": k, "open": True} for r in queries.collect()]  # ROUND rows, ROUND_BYTES at most
+    dim = max((len(r["vector"]) for r in rows), default=0)
+    while rows and any(r["open"] for r in rows):
+        active = [r for r in rows if r["open"]]
+        held = spark.sparkContext.broadcast(_queries_of(active, dim))
+        sums = candidates.mapInArrow(_histogram(held), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        above = sums.withColumn("above", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bin"))) - F.col("n"))  # BINS rows a query at most
+        kth = _kth(above, active)
+        held.unpersist()
+        for r in active:
+            x = kth.get(r["query_id"])
+            if x is None:  # no candidate, or all are above: the last pass takes what there is
+                r["open"] = False
+                continue
+            low = r["low"] + x["bin"] * r["width"]
+            # bins are rounded up, so the last ones reach past the open range: what lies there is already counted
+            r["end"] = min(r["end"], low + r["width"])
+            r["low"], r["wanted"] = low, r["wanted"] - x["above"]
+            # a bin of few scores is narrow enough: the last pass takes them all
+            r["open"] = r["width"] > 1 and x["n"] > FEW
+            r["width"] = -(-r["width"] // BINS)
+    held = spark.sparkContext.broadcast(_queries_of(rows, dim))
+    kept = candidates.mapInArrow(_survivors(held, k), "query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a task and query
+    return kept.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _meet(candidates: DataFrame, query_blocks: DataFrame, blocks: int) -> DataFrame:
-    """Every block of candidates with every block of queries: candidates are dealt to the query blocks' numbers and joined on them."""
-    dealt = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.join(query_blocks, "q_block").drop("q_block", "n")
+def _kth(above: DataFrame, active: list[dict]) -> dict:
+    """For each query the lowest bin that the best `wanted` scores reach into, and how many scores lie above it and in it."""
+    wanted = above.sparkSession.createDataFrame([(r["query_id"], r["wanted"]) for r in active], "query_id long, wanted long")
+    reached = above.join(F.broadcast(wanted), "query_id").filter(F.col("above") < F.col("wanted"))
+    return {r["query_id"]: r["x"] for r in reached.groupBy("query_id").agg(F.min_by(F.struct("bin", "above", "n"), "bin").alias("x")).collect()}
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
@@ -133,33 +158,23 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
 
     queries: query_id long, vector array<long>; vectors: vec_id long, vector array<long> (both quantised, without nulls).
     """
-    dim = vectors.groupBy(F.size("vector").alias("d")).count().agg(F.max_by("d", F.struct("count", "d"))).first()[0]
-    queries, vectors = (c.written(x.filter(F.size("vector") == F.lit(dim)), "topk-vectors") for x in (queries.groupBy("query_id").agg(F.min("vector").alias("vector")), vectors))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    candidates = c.written(_blocks(vectors.select("vec_id", "vector"), BLOCK), "topk-blocks")
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     most = vectors.agg(F.max(norm(F.col("vector")))).first()[0] or 0.0
     reach = F.ceil(norm(F.col("vector")) * most * 1.000001 + 1)  # no inner product is greater
-    bounds = queries.select("query_id", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"), (reach + 1).alias("end"), F.lit(k).cast("long").alias("wanted"))
-    candidates = c.written(_blocks(vectors.select("vec_id", "vector"), BLOCK), "topk-blocks")
-    order = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-    bounds = c.written(bounds, "topk-bounds")
-    while True:
-        open_ = bounds.filter((F.col("width") > 1) & (F.col("wanted") > 0))
-        if open_.isEmpty():
-            break
-        sums = _meet(candidates, _query_blocks(queries, open_, blocks), blocks).mapInArrow(_histogram, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        above = sums.withColumn("above", F.sum("n").over(order) - F.col("n"))
-        kth = above.join(open_, "query_id").filter(F.col("above") < F.col("wanted")).groupBy("query_id").agg(F.min_by(F.struct("bin", "above", "n"), "bin").alias("x"))
-        # a bin of few scores is narrow enough: the last pass takes them all
-        refined = open_.join(kth, "query_id", "left").select(
-            "query_id",
-            F.coalesce(F.col("low") + F.col("x.bin") * F.col("width"), F.col("low")).alias("low"),
-            # bins are rounded up, so the last ones reach past the open bin: what lies there is already counted in x.above
-            F.when(F.col("x").isNotNull(), F.least(F.col("end"), F.col("low") + (F.col("x.bin") + 1) * F.col("width"))).otherwise(F.col("end")).alias("end"),
-            F.when(F.col("x").isNull() | (F.col("x.n") <= FEW), F.lit(1)).otherwise(F.ceil(F.col("width") / BINS)).cast("long").alias("width"),
-            F.greatest(F.col("wanted") - F.coalesce(F.col("x.above"), F.lit(0)), F.lit(0)).alias("wanted"),
-        )
-        bounds = c.written(bounds.join(open_.select("query_id"), "query_id", "left_anti").unionByName(refined), "topk-bounds")
-    kept = _meet(candidates, _query_blocks(queries, bounds, blocks), blocks).mapInArrow(_survivors(k), "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return kept.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = queries.groupBy("query_id").agg(F.min("vector").alias("vector"))
+    once = once.select("query_id", "vector", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"), (reach + 1).alias("end"))
+    once = c.written(once, "topk-queries")
+    n, longest = once.agg(F.count("*"), F.max(F.size("vector"))).first()
+    each = max(1, min(ROUND, ROUND_BYTES // (8 * max(longest or 1, 1))))
+    # rounds are dealt by hash; twice as many as the mean needs keeps each of them below `each`
+    rounds = max(1, -(-n // each))
+    if rounds > 1:
+        rounds = -(-n // (each // 2 or 1))
+    if rounds == 1:
+        return _round(candidates, once, k)
+    path = c.scratch_path(once.sparkSession, "topk-found")
+    for r in range(rounds):
+        found = _round(candidates, once.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r), k)
+        found.write.mode("append").parquet(path)
+    return once.sparkSession.read.schema(found.schema).parquet(path)

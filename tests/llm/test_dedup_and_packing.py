@@ -217,18 +217,33 @@ def test_packing_of_odd_rows(spark):
 
 def test_local_search_empties_bins():
     rng = np.random.default_rng(8)
-    helped = 0
-    for _ in range(12):
-        lengths = rng.integers(20, 70, 60)
-        start = best = packing.best_fit(lengths, 100)
-        found = packing.improve(lengths, start, 100)
-        before, after = (np.bincount(b, lengths) for b in (best, found))
-        assert after.max() <= 100 and (after**2).sum() >= (before**2).sum() and (after > 0).sum() <= (before > 0).sum()
-        helped += (after**2).sum() > (before**2).sum()
-    assert helped
+    for low, high, n, size in [(20, 70, 60, 100), (1, 101, 200, 100), (40, 61, 90, 100), (51, 60, 40, 100), (1, 3, 500, 2048), (100, 2049, 3000, 2048)]:
+        lengths = rng.integers(low, high, n)
+        start = packing.as_they_come(lengths, size)
+        found = packing.improve(lengths, start, size)
+        before, after = (np.bincount(b, lengths) for b in (start, found))
+        assert after.max() <= size and after.sum() == before.sum() and (after.astype(float) ** 2).sum() >= (before.astype(float) ** 2).sum()
+        used, least = (after > 0).sum(), -(-lengths.sum() // size)
+        assert used <= (before > 0).sum()
+        if low > size // 2:
+            assert used == n  # no two fit together
+        else:  # the bound may be out of reach: half of the pieces need a bin each
+            assert used <= 1.05 * least + 1
     # two sequences of 60 + 30 and 50 + 40 and one of 20: best fit can't see it, an exchange can
     lengths, bins = np.array([60, 30, 50, 40, 10, 10]), np.array([0, 0, 1, 1, 2, 2])
     assert len(np.unique(packing.improve(lengths, bins, 100))) == 2
+    # 70 + 20 and 60 + 35: only 20 and 70 for 60 + 35 ... two small ones leave for one that is smaller than both
+    lengths, bins = np.array([90, 50, 45, 5, 5]), np.array([0, 1, 1, 2, 2])
+    assert len(np.unique(packing.improve(lengths, bins, 100))) == 2
+    assert len(packing.improve(np.zeros(0, np.int64), np.zeros(0, np.int64), 100)) == 0
+
+
+def test_the_search_makes_the_packing_of_the_larger_table(spark):
+    cut = packing.pieces(c.documents(spark, "/root/testdata/sf0.01")).collect()
+    lengths = np.array([r["length"] for r in cut])
+    start = packing.as_they_come(lengths, packing.SIZE)
+    n = len({r["sequence_id"] for r in packing.pack(c.documents(spark, "/root/testdata/sf0.01")).select("sequence_id").collect()})
+    assert n <= -(-lengths.sum() // packing.SIZE) + 1 and n < len(np.unique(start))
 
 
 def test_passages_that_start_and_end_inside_sentences(spark):

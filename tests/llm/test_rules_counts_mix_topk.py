@@ -123,11 +123,29 @@ def test_token_counts_and_cache(spark):
     assert len(more) == len(HARD) and spark.read.parquet(cache).count() == 2 * len({t or "" for t in HARD})
 
 
-def test_targets_by_hand():
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == {"a": 50.0, "b": 100.0, "c": 150.0}
-    got = mixing.targets([(None, 1000), ("b", 10), ("a", 10)])
-    assert got == {"a": 30.0, "b": 30.0, None: 960.0}
-    assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """Brute force of the shares."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight, cap = {s: weights[i % 3] for i, (s, _) in enumerate(order)}, {s: float(most * n) for s, n in order}
+    left, open_, out = float(sum(n for _, n in order)), [s for s, _ in order], {}
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if share * weight[s] > cap[s]]
+        if not over:
+            return out | {s: share * weight[s] for s in open_}
+        out |= {s: cap[s] for s in over}
+        left -= sum(cap[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets_by_hand(spark):
+    assert targets([("a", 100), ("b", 100), ("c", 100)]) == {"a": 50.0, "b": 100.0, "c": 150.0}
+    cases = [[("a", 100), ("b", 100), ("c", 100)], [(None, 1000), ("b", 10), ("a", 10)], [], [("a", 0)], [(f"s{i:03}é" if i % 2 else f"S{i}", (i * 37) % 101) for i in range(200)] + [(None, 9000)]]
+    for case in cases:
+        rows = spark.createDataFrame([("k" if s is None else "s" + s, s, n, 1) for s, n in case], "_source string, source string, source_size long, n long")
+        got = {r["source"]: r["target"] for r in mixing.targets(rows.repartition(5)).collect()}
+        assert got == pytest.approx(targets(case)), case
 
 
 def test_mix(spark):
@@ -138,7 +156,7 @@ def test_mix(spark):
     total = {}
     for _, n, s in sizes:
         total[s] = total.get(s, 0) + n
-    wanted, taken, source = mixing.targets(list(total.items())), {}, {d: s for d, _, s in sizes}
+    wanted, taken, source = targets(list(total.items())), {}, {d: s for d, _, s in sizes}
     for r in got:
         s = source[r["doc_id"]]
         assert r["target"] == pytest.approx(wanted[s]) and r["source_size"] == total[s]
@@ -152,6 +170,27 @@ def test_mix(spark):
     assert {r["doc_id"]: r["n"] for r in sampled.withColumn("w", mixing.n_words(F.col("text"))).groupBy("doc_id").agg(F.sum("w").alias("n")).collect() if r["n"]} == {r["doc_id"]: sum(x["taken"] for x in got if x["doc_id"] == r["doc_id"]) for r in got if r["taken"]}
 
 
+def test_mix_of_many_sources_and_clashing_names(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 7), "en", f"s{i % 40}" if i % 3 else "hot", 1, 2, "x", "n", 5, 6) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long, size long, digest string, _source string, epochs long, n long")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    sampled = sorted(map(str, mixing.sample_documents(docs).collect()))
+    assert mixing.sample_documents(docs).columns == docs.columns
+    monkeypatch.setattr(c, "SMALL_ROWS", 3)  # too many sources to broadcast
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want and sorted(map(str, mixing.sample_documents(docs).collect())) == sampled
+
+
+def test_topk_in_rounds_blocks_and_unlike_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "ROUND", 6)
+    rng = np.random.default_rng(15)
+    vectors = [(i, v[: 3 + i % 4]) for i, v in enumerate(rng.integers(-50, 50, (300, 6)).tolist())] + [(400, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>").repartition(3)
+    got = topk.search(df.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), df, 5).collect()
+    full = {i: np.array(v + [0] * (6 - len(v)), int) for i, v in vectors}
+    want = [(q, k + 1, i, -s) for q in full if q % 20 == 0 for k, (s, i) in enumerate(sorted((-int(full[q] @ x), i) for i, x in full.items() if i != q)[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, v) for i, v in enumerate(rng.integers(-300, 300, (700, 8)).tolist())] + [(1000 + i, [9] * 8) for i in range(400)] + [(1000, [9] * 8)]
