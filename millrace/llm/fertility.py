@@ -2,9 +2,10 @@
 
 For every text: characters per token (byte-level BPE), the share of byte-fallback pieces (piece BPE), and the entropy of
 its tokens, besides plain counts of words, symbols, repeated lines and repeated 8-word windows. Rejection bands for the
-three measures are fitted per language over all texts (median and median deviation), so they follow the corpus at any
-size; texts of a language with few texts, or of no language, take the bands of their script. The band of byte fallback
-has no lower end: a text that needs fewer byte pieces than its language is well fitted.
+three measures are fitted per language over all texts (median and median deviation), and drawn toward those of the text's
+script as if the script had PRIOR texts in it, so a sparse language, or none, takes the bands of its script and no number
+of texts is a switch. The band of byte fallback has no lower end: a text that needs fewer byte pieces than its language
+is well fitted.
 
 Nulls: a null text counts as empty, has no word and is rejected; a null lang takes the script's band; a null doc_id is
 kept as it is. Repeated rows each get their own row. Extra columns are ignored.
@@ -23,16 +24,12 @@ from . import tokenizers_public as tk
 #: What counts as a symbol, the words of a repeat window, the least words and the greatest share of repeats.
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Texts with fewer tokens than this are too short for the bands to mean anything.
-LEAST_TOKENS = 24
-#: Half-width of a band in median deviations, and the least texts that a language needs for a band of its own.
-WIDTH, LEAST_TEXTS = 8.0, 50
-#: The least median deviation of byte fallback: among texts that need none it is 0.
-LEAST_FALLBACK = 0.01
-#: The measures that bands are fitted for.
-BANDED = ("chars_per_token", "fallback_share", "entropy")
-#: Bounds that hold beside the fitted ones: no band rejects inside them (characters per token, entropy in bits, the share of byte fallback).
-SAFE_CHARS, SAFE_ENTROPY, SAFE_FALLBACK = (1.9, 5.5), (4.5, 14.0), 0.15
+#: Half-widths of the bands in median deviations; the least deviation that counts, as a share of the median and as such (texts that need no byte fallback have a median and a deviation of 0).
+BANDED = {"chars_per_token": (6.0, 0.02, 0.0), "fallback_share": (8.0, 0.0, 0.01), "entropy": (8.0, 0.02, 0.0)}
+#: Texts that the bands of a script count as beside those of a language.
+PRIOR = 50.0
+#: A text of n tokens has log2(n) bits at most: no text is rejected for fewer bits if it has this share of them.
+RICH = 0.7
 
 MEASURES = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy double, digest binary"
 
@@ -154,31 +151,36 @@ def measures(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), digest.alias("digest")).mapInArrow(_measure, MEASURES)
 
 
-def _bands(df: DataFrame, key: str) -> DataFrame:
-    """Median and median deviation of the three measures for each value of key, over all rows."""
-    long = df.filter((F.col("n_tokens") >= LEAST_TOKENS) & F.col(key).isNotNull())
-    mid = long.groupBy(key).agg(F.count("*").alias("_n"), *(F.percentile_approx(k, 0.5, 10000).alias(f"_m_{k}") for k in BANDED))
-    away = long.join(mid, key).groupBy(key, "_n", *(f"_m_{k}" for k in BANDED))
-    return away.agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"_m_{k}")), 0.5, 10000).alias(f"_d_{k}") for k in BANDED))
+def _joined(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the row of their key; table is written and broadcast if it is small, else only its frequent keys are."""
+    if c.small(table, key):
+        return rows.join(F.broadcast(table), key)
+    return c.with_key(rows, table, key, table.agg(F.sum("n")).first()[0] or 0)
+
+
+def _bands(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Number of rows, median and median deviation of the three measures for each value of key, over all rows."""
+    mid = df.groupBy(key).agg(F.count("*").alias("n"), *(F.percentile_approx(k, 0.5, 10000).alias(f"{prefix}m_{k}") for k in BANDED))
+    mid = c.written(mid, f"fertility-{key}-middle")
+    away = _joined(df, mid, key).groupBy(key, "n", *(f"{prefix}m_{k}" for k in BANDED))
+    return c.written(away.agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"{prefix}m_{k}")), 0.5, 10000).alias(f"{prefix}d_{k}") for k in BANDED)), f"fertility-{key}-bands")
 
 
 def judged(measured: DataFrame, *more: str) -> DataFrame:
-    """Adds base_failed, fertile (inside all bands) and kept, and carries the columns named in more; measured must be a written table, it is read three times."""
-    lang = _bands(measured, "lang").filter(F.col("_n") >= LEAST_TEXTS)
-    script = _bands(measured, "script")
-    script = script.select("script", *(F.col(x).alias(f"_s{x}") for x in script.columns if x != "script"))
-    out = measured.join(lang, "lang", "left").join(script, "script", "left")
+    """Adds base_failed, fertile (inside all bands) and kept, and carries the columns named in more; measured must be a written table, it is read five times."""
+    # a key that is never null; a text of no language has none of its own
+    rows = measured.withColumn("_lang", F.when(F.col("lang").isNull(), F.lit("n")).otherwise(F.concat(F.lit("l"), F.col("lang"))))
+    lang, script = _bands(rows, "_lang", "_l"), _bands(rows, "script", "_s")
+    out = _joined(rows, lang, "_lang").withColumn("_own", F.when(F.col("lang").isNull(), 0.0).otherwise(F.col("n"))).drop("n")
+    out = _joined(out, script, "script")
     inside = F.lit(True)
-    for k, (least, most) in (("chars_per_token", SAFE_CHARS), ("entropy", SAFE_ENTROPY)):
-        mid, dev = (F.coalesce(F.col(f"_{x}_{k}"), F.col(f"_s_{x}_{k}"), F.lit(0.0)) for x in "md")
-        low, high = F.least(mid - WIDTH * dev, F.lit(least)), F.greatest(mid + WIDTH * dev, F.lit(most))
-        if k == "entropy":  # a text of n tokens has at most log2(n) bits
-            low = F.least(low, 0.7 * F.log2(F.greatest(F.col("n_tokens"), F.lit(2))))
-        inside = inside & F.col(k).between(low, high)
-    mid, dev = (F.coalesce(F.col(f"_{x}_fallback_share"), F.col(f"_s_{x}_fallback_share"), F.lit(0.0)) for x in "md")
-    inside = inside & (F.col("fallback_share") <= F.greatest(mid + WIDTH * F.greatest(dev, F.lit(LEAST_FALLBACK)), F.lit(SAFE_FALLBACK)))
+    for k, (width, share, least) in BANDED.items():
+        mid, dev = ((F.col("_own") * F.col(f"_l{x}_{k}") + PRIOR * F.col(f"_s{x}_{k}")) / (F.col("_own") + PRIOR) for x in "md")
+        reach = width * F.greatest(dev, share * mid, F.lit(least))
+        low = {"chars_per_token": mid - reach, "fallback_share": F.lit(0.0), "entropy": F.least(mid - reach, RICH * F.log2(F.greatest(F.col("n_tokens"), F.lit(2))))}[k]
+        inside = inside & F.col(k).between(low, mid + reach)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "fertile": inside | (F.col("n_tokens") < LEAST_TOKENS)})
+    out = out.withColumns({"base_failed": failed, "fertile": inside})
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertile", "n_tokens", "chars_per_token", "fallback_share", "entropy")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("fertile")).select(*names, *more)
 

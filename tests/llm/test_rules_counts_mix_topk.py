@@ -61,7 +61,7 @@ def test_fertility_rejects_what_the_vocabulary_does_not_fit(spark):
     junk = " ".join("".join(map(chr, rng.integers(0x10000, 0x10FFFF, 6))) for _ in range(60))
     got = {r["doc_id"]: r["kept"] for r in fertility.score_documents(spark.createDataFrame(rows(*clean, "zq" * 10 + " " + " ".join("q%dzx9j7" % i for i in range(60)), junk), DOCS)).collect()}
     assert sum(got[i] for i in range(60)) == 60
-    assert not got[60]
+    assert not got[60] and not got[61]
     kept = fertility.keep_documents(spark.createDataFrame(rows(*clean, "short"), DOCS))
     assert kept.columns == [x.split()[0] for x in DOCS.split(", ")] and kept.count() == 60
 
@@ -81,6 +81,46 @@ def test_fertility_fits_byte_fallback_outside_latin(spark):
     assert list(fertility._script(*c.buffers(pa.array(texts)))) == ["cyrillic", "han", "thai", "hebrew", "japanese", "latin", "latin", "latin", "mixed"]
 
 
+def brute_fertile(rows):
+    """Whether each row (lang, script, n_tokens and the measures) lies in all bands, with exact medians."""
+    def bands(key):
+        groups = {}
+        for r in rows:
+            groups.setdefault(r[key], []).append(r)
+        out = {}
+        for g, held in groups.items():
+            lower = lambda x: sorted(x)[(len(x) - 1) // 2]
+            mid = {k: lower([r[k] for r in held]) for k in fertility.BANDED}
+            out[g] = {k: (len(held), mid[k], lower([abs(r[k] - mid[k]) for r in held])) for k in mid}
+        return out
+
+    lang, script = bands("lang"), bands("script")
+    out = []
+    for r in rows:
+        fine = True
+        for k, (width, share, least) in fertility.BANDED.items():
+            n, m1, d1 = lang[r["lang"]][k]
+            n = 0 if r["lang"] is None else n
+            _, m2, d2 = script[r["script"]][k]
+            mid, dev = (n * m1 + 50 * m2) / (n + 50), (n * d1 + 50 * d2) / (n + 50)
+            reach = width * max(dev, share * mid, least)
+            low = {"chars_per_token": mid - reach, "fallback_share": 0, "entropy": min(mid - reach, 0.7 * np.log2(max(r["n_tokens"], 2)))}[k]
+            fine = fine and low <= r[k] <= mid + reach
+        out.append(fine)
+    return out
+
+
+def test_fertility_bands_against_brute_force(spark):
+    docs = c.documents(spark, "/root/testdata/sf0.01")
+    measured = c.written(fertility.measures(docs), "m").collect()
+    want = dict(zip([r["doc_id"] for r in measured], brute_fertile(measured), strict=True))
+    got = fertility.score_documents(docs).collect()
+    assert {r["doc_id"]: r["fertile"] for r in got} == want
+    decided = sum(not r["fertile"] and not r["base_failed"] for r in got)
+    assert 5 <= decided <= 50  # the bands decide beside the plain rules, on a few texts in a hundred
+    assert all(r["kept"] == (r["fertile"] and not r["base_failed"]) for r in got)
+
+
 def test_verdicts_keep_to_their_own_text(spark):
     rng = np.random.default_rng(7)
     common = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
