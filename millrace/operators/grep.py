@@ -1,6 +1,7 @@
 """Regular-expression search over the lines of texts, with byte offsets and caps.
 
-All of it is higher-order functions on one row: no shuffle, no Python, and only matching lines are exploded.
+One pass over a text's lines keeps the byte position and the hits so far, so the work grows with the text and only
+matching lines are exploded: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -35,29 +36,38 @@ def grep(
     """
     rule = ("(?i)" if case_insensitive else "") + ("\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if literal else pattern)
     whole = F.col(text)
-    lines = F.split(whole, "\n", -1)
-    n = F.when(whole.endswith("\n") | (whole == ""), F.size(lines) - 1).otherwise(F.size(lines))
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line"), (i + 1 < F.size(lines)).alias("ended")))
-
-    def hit(x: Column) -> Column:
-        found = F.regexp_replace(x["line"], "[\r]+$", "").rlike(rule)
-        return (x["line_number"] <= n) & F.is_valid_utf8(x["line"]) & (~found if invert else found)
-
-    def described(x: Column) -> Column:
-        line = F.regexp_replace(x["line"], "[\r]+$", "")
-        offset = F.when(x["line_number"] > 1, F.octet_length(F.call_function("substring_index", whole, F.lit("\n"), x["line_number"] - 1)) + 1).otherwise(0)
-        at = F.lit(0) if invert else F.octet_length(F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(rule), 0) - 1))
-        length = F.lit(0) if invert else F.octet_length(F.regexp_substr(line, F.lit(rule)))
-        return F.struct(
-            x["line_number"].alias("line_number"),
-            offset.cast("long").alias("offset"),
-            (F.octet_length(x["line"]) + x["ended"].cast("int")).alias("line_length"),
-            (offset + at).cast("long").alias("match_offset"),
-            length.alias("match_length"),
-            _cut(line, content_max_bytes).alias("content"),
-            (F.octet_length(line) > content_max_bytes).alias("truncated"),
-        )
-
-    hits = df.select(key, whole, F.filter(numbered, hit).alias("_hits"))
-    rows = hits.select(key, (F.size("_hits") >= max_matches).alias("capped"), F.explode(F.transform(F.slice("_hits", 1, max_matches), described)).alias("_hit"))
-    return rows.select(key, "_hit.*", "capped")
+    size = F.octet_length(whole)
+    body = F.when(whole.endswith("\n"), F.expr(f"left(`{text}`, char_length(`{text}`) - 1)")).otherwise(whole)
+
+    def step(acc: Column, line: Column) -> Column:
+        found = F.regexp_replace(line, "[\r]+$", "").rlike(rule)
+        hit = F.is_valid_utf8(line) & (~found if invert else found) & (F.size(acc["hits"]) < max_matches)
+        n, after = acc["n"] + 1, acc["pos"] + F.octet_length(line) + 1
+        # a line's end counts where there is one
+        own = F.struct(n.alias("line_number"), acc["pos"].alias("offset"), (F.least(after, size.cast("long")) - acc["pos"]).cast("int").alias("line_length"), line.alias("line"))
+        return F.struct(n.alias("n"), after.alias("pos"), F.when(hit, F.array_append(acc["hits"], own)).otherwise(acc["hits"]).alias("hits"))
+
+    none = F.array().cast("array<struct<line_number:int,offset:bigint,line_length:int,line:string>>")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("pos"), none.alias("hits"))
+    hits = df.filter(whole.isNotNull() & (whole != "")).select(key, F.aggregate(F.split(body, "\n", -1), start, step)["hits"].alias("_hits"))
+    rows = hits.select(key, (F.size("_hits") >= max_matches).alias("capped"), F.explode("_hits").alias("_hit")).select(key, "capped", "_hit.*")
+    line = F.regexp_replace("line", "[\r]+$", "")
+    at = F.lit(0) if invert else F.octet_length(F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(rule), 0) - 1))
+    length = F.lit(0) if invert else F.octet_length(F.regexp_substr(line, F.lit(rule)))
+    return rows.select(
+        key, "line_number", "offset", "line_length", (F.col("offset") + at).alias("match_offset"), length.alias("match_length"),
+        _cut(line, content_max_bytes).alias("content"), (F.octet_length(line) > content_max_bytes).alias("truncated"), "capped",
+    )
+
+
+def grep_prefix(df: DataFrame, key: str, text: str, pattern: str, *, prefix: str = "", start_after: str | None = None, max_keys: int = 100, max_matches: int = 1000, max_matches_per_object: int = 100, **options) -> DataFrame:
+    """grep() over the first max_keys keys under a prefix, in key order, max_matches lines in all; start_after is the last key of the page before.
+
+    The page of keys is a bounded top-k and its texts come by a broadcast of those keys.
+    """
+    keys = df.select(key).filter(F.col(key).startswith(prefix))
+    if start_after is not None:
+        keys = keys.filter(F.col(key) > start_after)
+    page = keys.distinct().orderBy(key).limit(max_keys)
+    found = grep(df.join(F.broadcast(page), key), key, text, pattern, max_matches=max_matches_per_object, **options)
+    return found.orderBy(key, "line_number").limit(max_matches)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import analytics, grep, listing
+from ..operators import analytics, grep, listing, policy
 from ..sources import table_log
+from . import more
 
 MAIL = "[a-z0-9.]+@[a-z0-9]+[.][a-z]+"
 BOUNDS = [1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
@@ -68,7 +69,7 @@ def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.histogram(_table(spark, sf_dir, "events"), F.col("value"), BOUNDS)
+    return analytics.histogram(_table(spark, sf_dir, "events"), F.col("value"), BOUNDS).withColumn("total", F.round("total", 3))
 
 
 def duplicate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def duplicate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
-    return events.select("event_id", analytics.decide(STATEMENTS, user, F.concat(F.lit("Read:"), F.col("event_type")), F.col("props")).alias("decision"))
+    return events.select("event_id", policy.decide(STATEMENTS, user, F.concat(F.lit("Read:"), F.col("event_type")), F.col("props")).alias("decision"))
 
 
 def live_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ def live_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_log.live(orders, F.concat(F.lit("c="), F.col("o_custkey").cast("string")), F.col("o_orderkey"), F.col("o_orderstatus") != "F", F.floor("o_totalprice").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (select_rows, select_aggregates, grep_documents, list_hosts, list_versions, lifecycle_due, usage_report, value_histogram, duplicate_share, access_decisions, live_files)}
+QUERIES = {f.__name__: f for f in (select_rows, select_aggregates, grep_documents, list_hosts, list_versions, lifecycle_due, usage_report, value_histogram, duplicate_share, access_decisions, live_files)} | more.QUERIES
 
 ORACLE_SQL = {
     "select_rows": """
@@ -121,15 +122,15 @@ SELECT o_custkey, o_orderkey, action FROM a WHERE action IS NOT NULL""",
 WITH p AS (SELECT o_custkey, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT) AS b, max(o_orderdate) AS m FROM orders GROUP BY 1)
 SELECT c_nationkey, count(*) AS n_buckets, coalesce(sum(n), 0)::BIGINT AS objects, coalesce(sum(b), 0)::BIGINT AS bytes, max(m) AS last_modified
 FROM customer LEFT JOIN p ON c_custkey = o_custkey GROUP BY 1""",
-    "value_histogram": " UNION ALL ".join(f"SELECT {b}::DOUBLE AS le, count(*) FILTER (value <= {b}) AS n FROM events" for b in BOUNDS) + " UNION ALL SELECT NULL, count(value) FROM events",
+    "value_histogram": " UNION ALL ".join(f"SELECT {b}::DOUBLE AS le, count(*) FILTER (value <= {b}) AS n, round(sum(value), 3) AS total FROM events" for b in BOUNDS) + " UNION ALL SELECT NULL, count(value), round(sum(value), 3) FROM events",
     "duplicate_share": """
 WITH d AS (SELECT hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0),
 b AS (SELECT substr(h, (1 + 1024 * unnest(range(0, (length(h) + 1023) // 1024)))::BIGINT, 1024) AS block FROM d),
 g AS (SELECT block, length(block) // 2 AS len, count(*) AS n FROM b GROUP BY block)
-SELECT coalesce(sum(n), 0)::BIGINT AS chunks, coalesce(sum(n * len), 0)::BIGINT AS bytes, count(*) AS unique_chunks, coalesce(sum((n - 1) * len), 0)::BIGINT AS duplicate_bytes FROM g""",
+SELECT coalesce(sum(n), 0)::BIGINT AS chunks, coalesce(sum(n * len), 0)::BIGINT AS bytes, count(*) AS unique_chunks, coalesce(sum((n - 1) * len), 0)::BIGINT AS duplicate_bytes, 0::BIGINT AS zero_bytes FROM g""",
     "access_decisions": """
 SELECT event_id, CASE WHEN event_type = 'error' AND user_id::VARCHAR LIKE '%7' THEN 'Deny' ELSE 'Allow' END AS decision FROM events""",
     "live_files": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders)
 SELECT 'c=' || o_custkey AS path, o_orderkey AS version, floor(o_totalprice)::BIGINT AS size FROM r WHERE rn = 1 AND o_orderstatus <> 'F'""",
-}
+} | more.ORACLE_SQL

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import values as v
-from millrace.operators import analytics, grep, listing
+from millrace.operators import analytics, grep, lifecycle, listing, policy, security
 from millrace.plans import queries
 from millrace.sources import table_log
 from millrace.streaming import delivery
@@ -16,17 +16,17 @@ from millrace.streaming import delivery
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("part", "orders", "documents", "pages", "customer", "events"):
+    for table in ("part", "orders", "documents", "pages", "customer", "events", "lineitem", "nation", "supplier"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     want = con.execute(queries.ORACLE_SQL[name])
     names = [x[0] for x in want.description]
     assert sorted(names) == sorted(df.columns)
     got = Counter(tuple(r[n] for n in names) for r in df.collect())
-    assert got == Counter(want.fetchall()) and (got or name == "grep_documents")
+    assert got == Counter(want.fetchall()) and (got or name in ("grep_documents", "grep_invert"))
 
 
 def test_grep_offsets_caps_and_invert(spark):
@@ -40,19 +40,19 @@ def test_grep_offsets_caps_and_invert(spark):
 
 
 def test_listing_rolls_up_and_pages(spark):
-    df = spark.createDataFrame([(k,) for k in ("a", "b", "c", "dir/x", "dir/y", "e", None)], "key string")
+    df = spark.createDataFrame([(k,) for k in ("1", "k0", "k1/x", "k1/y", "k2", "q", None)], "key string")
     seen, after = [], ""
     while page := [r["entry"] for r in listing.list_objects(df, "key", delimiter="/", start_after=after, max_keys=2).collect()]:
         seen, after = seen + page, page[-1]
-    assert seen == ["a", "b", "c", "dir/", "e"]
+    assert seen == ["1", "k0", "k1/", "k2", "q"]
 
 
 def test_values(spark):
     df = spark.createDataFrame([("7.9", "3"), ("inf", "x"), (" 12 ", "3.0"), (None, None)], "a string, b string")
     rows = df.select(v.integer(F.col("a")), v.number(F.col("a")), v.equals(F.col("b"), F.lit(3))).collect()
     assert [tuple(r) for r in rows] == [(7, 7.9, True), (None, None, False), (12, 12.0, True), (None, None, None)]
-    one = spark.range(1).select(v.substring(F.lit("123456789"), -4, 6), v.substring(F.lit("123456789"), 0, 3), v.like(F.lit("a%b"), "a\\%b", "\\"), v.like(F.lit("a\\b"), "a\\_"), v.divide(F.lit(-7), F.lit(2)))
-    assert tuple(one.first()) == ("1", "12", True, True, -3)
+    one = spark.range(1).select(v.substring(F.lit("abcdef"), -2, 5), v.substring(F.lit("abcdef"), 0, 3), v.like(F.lit("a%b"), "a\\%b", "\\"), v.like(F.lit("a\\b"), "a\\_"), v.divide(F.lit(-7), F.lit(2)))
+    assert tuple(one.first()) == ("ab", "ab", True, True, -3)
     months = spark.sql("SELECT timestamp'2014-01-30 15:14:29' a, timestamp'2014-03-01 15:14:28' b, timestamp'2008-03-30 13:36:55' c, timestamp'2008-02-29 14:36:55' d")
     assert tuple(months.select(v.month_diff(F.col("a"), F.col("b")), v.month_diff(F.col("c"), F.col("d"))).first()) == (1, -1)
 
@@ -60,7 +60,7 @@ def test_values(spark):
 def test_decisions_and_null_requests(spark):
     df = spark.createDataFrame([("u1", "GET", "b/x"), ("u2", "get", "b/x"), (None, "put", "c")], "p string, a string, r string")
     rules = [{"effect": "Allow", "actions": ["g?t"], "resources": ["b/*"]}, {"effect": "Deny", "principals": ["u2"], "actions": ["*"], "resources": ["*"]}]
-    assert [r[0] for r in df.select(analytics.decide(rules, F.col("p"), F.col("a"), F.col("r"))).collect()] == ["Allow", "Deny", "ImplicitDeny"]
+    assert [r[0] for r in df.select(policy.decide(rules, F.col("p"), F.col("a"), F.col("r"))).collect()] == ["Allow", "Deny", "ImplicitDeny"]
 
 
 def test_table_log(spark, tmp_path):
