@@ -178,7 +178,7 @@ def test_logs_that_are_not_whole_are_refused(spark, tmp_path):
     (log / f"{3:020}.json").write_text("{}")
     with pytest.raises(ValueError, match="lacks"):
         table_log.snapshot(spark, str(tmp_path))
-    (log / f"{3:020}.checkpoint.parquet").write_bytes(b"")
+    (log / f"{3:020}.checkpoint.parquet").write_bytes(b"x")
     with pytest.raises(ValueError, match="checkpoint"):
         table_log.snapshot(spark, str(tmp_path))
 
