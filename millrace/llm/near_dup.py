@@ -200,15 +200,16 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of the text), kept, for every row."""
+    """doc_id, class_id (least doc_id of the class), class_size, n_links (verified links of the text; those in larger buckets span what is alike and are not all pairs), kept, for every row."""
     docs = _nodes(docs)
     found, links = _classes(docs)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     ids = docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left").join(degree, "node", "left")
     ids = c.written(ids.select("node", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-ids")
     whole = ids.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    ids = ids.select("node", "root", "n_links").join(whole, "root")
-    return docs.select("doc_id", "node").join(ids, "node").select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # one row a text; the rows of texts that many documents are stay where they are
+    ids = c.written(ids.select("node", "n", "root", "n_links").join(whole, "root"), "near-whole")
+    return c.with_key(docs.select("doc_id", "node"), ids, "node", ids.agg(F.sum("n")).first()[0] or 0).select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,10 +217,10 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     plain = _nodes(docs)
     found, _ = _classes(plain)
     ids = c.written(plain.groupBy("node", "doc_id").agg(F.count("*").alias("n")), "near-ids")
-    rooted = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # least doc_id, nulls last, then the text's digest: one node and one doc_id a class
+    # least doc_id, nulls last, then the text's digest: one node and one doc_id a class; first of each text, then of its class
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")
-    first = rooted.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.node").alias("_mr_node"), F.col("x.doc_id").alias("_mr_id"), F.col("x.n").alias("_mr_n"))
+    rooted = ids.groupBy("node").agg(F.min(order).alias("x")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.node").alias("_mr_node"), F.col("x.doc_id").alias("_mr_id"), F.col("x.n").alias("_mr_n"))
     first = c.written(first, "near-kept")
     match = (c.digest(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_mr_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_mr_id"))
     kept = docs.join(first, match)

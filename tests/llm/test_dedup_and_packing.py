@@ -97,6 +97,25 @@ def test_near_copies_of_a_large_group_and_odd_rows(spark):
     assert near_dup.classes(none).count() == near_dup.drop_duplicates(none).count() == 0
 
 
+def test_links_are_the_same_however_buckets_are_compared(spark, monkeypatch):
+    from millrace.llm import leaders
+
+    rng = np.random.default_rng(21)
+    base = prose(rng, 150)
+    texts = [(k, " ".join([*base[: 5 + k], f"x{k}", *base[6 + k :]])) for k in range(30)] + [(100 + k, " ".join([*base[:75], *prose(rng, 75)])) for k in range(12)]
+    texts += [(200 + k, texts[k % 3][1]) for k in range(20)]
+    docs = spark.createDataFrame(odd_rows(texts), ODD)
+    want = None
+    for small, block, most in ((12, 512, 16384), (10**6, 512, 10**6), (1, 8, 10**6), (1, 8, 1)):
+        monkeypatch.setattr(leaders, "SMALL", small)
+        monkeypatch.setattr(leaders, "BLOCK", block)
+        monkeypatch.setattr(leaders, "MOST", most)
+        got = {r["doc_id"]: (r["class_id"], r["class_size"], r["kept"]) for r in near_dup.classes(docs).collect()}
+        assert want is None or got == want, (small, block, most)
+        want = got
+    assert want[0][1] == 50 and want[100][1] == 1
+
+
 def test_weighted_samples_agree_as_often_as_the_sets():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 1 << 63, 400, dtype=np.uint64)

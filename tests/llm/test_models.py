@@ -155,7 +155,6 @@ def test_language_model_on_the_table(spark):
 
 
 def test_language_model_beats_the_word_model_on_held_out_texts(spark):
-    # on the 200 texts of sf0.001 it does not: they teach it too little
     held = [r for r in lm_scoring.score_documents(c.documents(spark, "/root/testdata/sf0.01")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
@@ -174,3 +173,61 @@ def test_every_token_is_scored_once():
         assert goal[of == i][goal[of == i] >= 0].tolist() == [*t.tolist(), 0]
         assert x[of == i].ravel()[: len(t) + 1].tolist() == [0, *t.tolist()]
         assert not continues[of == i][0] and continues[of == i][1:].all()
+
+
+def _small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    p = {k: v.astype(float) + 0.1 * rng.standard_normal(v.shape) for k, v in attention_lm.fresh().items()}
+    return rng, p, {"mem": rng.standard_normal((attention_lm.IDS, attention_lm.IDS)), "cls": rng.standard_normal((attention_lm.IDS, attention_lm.CLASSES))}
+
+
+def test_scores_against_one_token_at_a_time(monkeypatch):
+    monkeypatch.setattr(attention_lm, "F32", np.float64)
+    rng, p, prior = _small_model()
+    texts = [rng.integers(1, 900, n) for n in (0, 5, 20, 40)]
+    x, goal, continues, of = attention_lm.blocks(texts, 0)
+    found = attention_lm.log_probs(p, prior, x, goal, continues)
+    block, width = attention_lm.BLOCK, attention_lm.WIDTH
+    for i, text in enumerate(texts):
+        ids, want, total = [0, *text.tolist()], [*text.tolist(), 0], 0.0
+        for n, y in enumerate(want):
+            first = max(0, (n // block - 1) * block)  # the block before and its own, up to here
+            e = p["embed"][ids[first : n + 1]]
+            q, k, v = e[-1] @ p["q"], e @ p["k"], e @ p["v"]
+            s = k @ q * width**-0.5 + p["far"][0][n - np.arange(first, n + 1)]
+            a = np.exp(s - s.max())
+            h = e[-1] + (a / a.sum()) @ v @ p["o"]
+            h = h + np.maximum(h @ p["up"] + p["up_b"], 0) @ p["down"]
+            c1 = h @ p["cls"] + p["cls_b"] + prior["cls"][ids[n]]
+            probability = np.zeros(attention_lm.IDS)
+            for c in range(attention_lm.CLASSES):
+                span = slice(c * attention_lm.MEMBERS, (c + 1) * attention_lm.MEMBERS)
+                m = p["mem"][span] @ h + p["mem_b"][span] + prior["mem"][ids[n], span]
+                probability[span] = np.exp(c1[c]) / np.exp(c1).sum() * np.exp(m) / np.exp(m).sum()
+            assert probability.sum() == pytest.approx(1.0)
+            total += np.log(probability[y])
+        assert found[of == i].sum() == pytest.approx(total)
+
+
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    monkeypatch.setattr(attention_lm, "F32", np.float64)
+    rng, p, prior = _small_model(1)
+    x, goal, continues, _ = attention_lm.blocks([rng.integers(1, 900, n) for n in (3, 30)], 0)
+    g, loss = attention_lm.gradients(p, prior, x, goal, continues)
+    now = lambda: -attention_lm.log_probs(p, prior, x, goal, continues).sum() / (goal >= 0).sum()
+    assert loss == pytest.approx(now())
+    for name in p:
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        held = p[name][at]
+        p[name][at] = held + 1e-4
+        up = now()
+        p[name][at] = held - 1e-4
+        down = now()
+        p[name][at] = held
+        assert g[name][at] == pytest.approx((up - down) / 2e-4, rel=1e-4), name
+
+
+@pytest.mark.xfail(reason="200 texts teach the attention model too little: its log probability is below the word model's there", strict=False)
+def test_language_model_beats_the_word_model_on_the_smallest_table(spark):
+    held = [r for r in lm_scoring.score_documents(c.documents(spark, "/root/testdata/sf0.001")).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
