@@ -53,7 +53,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     spark, version = docs.sparkSession, tk.version(tokenizer)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("content", c.digest(F.col("text")))
     keys = c.written(texts.groupBy("content").agg(F.count("*").alias("n")), "token-contents")
-    misses = texts.select("content", "text").join(stored(spark, cache, version), "content", "left_anti").dropDuplicates(["content"])
+    # copies go before the texts are dealt: each task sends a text once
+    misses = texts.select("content", "text").dropDuplicates(["content"]).join(stored(spark, cache, version), "content", "left_anti")
     misses.mapInArrow(_encode(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     # contents that many rows share are joined by broadcast: their rows stay where they are
     counts = c.written(keys.join(stored(spark, cache, version), "content"), "token-counts")
