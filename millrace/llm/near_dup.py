@@ -181,7 +181,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
     buckets = c.written(buckets.join(several, "key", "left_semi"), "near-buckets")
     nodes = buckets.select("node").distinct()
-    texts = c.written(docs.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    # copies go before the texts are dealt: each task sends a text once
+    texts = c.written(docs.select("node", "text").dropDuplicates(["node"]).join(nodes, "node", "left_semi"), "near-texts")
 
     def alike(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
