@@ -126,6 +126,11 @@ def duplicate_share(df: DataFrame, text: str, chunk: int) -> DataFrame:
     """
     raw = F.col(text).cast("binary")
     blocks = df.filter(F.octet_length(text) > 0).select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(text) - 1) / chunk)), lambda i: F.substring(raw, i.cast("int") * chunk + 1, F.lit(chunk)))).alias("block"))
+    return share_of(blocks)
+
+
+def share_of(blocks: DataFrame) -> DataFrame:
+    """The counts of duplicate_share() over rows of a column `block`."""
     zero = F.hex("block").rlike("^0*$").alias("zero")
     by_print = blocks.groupBy(F.sha2("block", 256).alias("print"), F.octet_length("block").alias("len"), zero).agg(F.count("*").alias("n"))
     return by_print.agg(

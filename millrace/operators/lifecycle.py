@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def covers(rule: Mapping) -> Column:
     """Whether a rule's filters take an object (columns key, size, tags)."""
@@ -39,22 +41,19 @@ def _first(found: list[Column]) -> Column:
 def due(versions: DataFrame, rules: Sequence[Mapping], now: str, versioned: bool = True) -> DataFrame:
     """key, version, action, rule of all that is due at `now`: expire, remove_marker or delete_noncurrent; the first rule in order counts.
 
-    versions: key, version, modified, size, tags, is_marker. A key's versions are ranked in one window, newest first.
+    versions: key, version, modified, size, tags, is_marker. A key's versions are ranked newest first, by slices of time.
     """
     rules = [r for r in rules if r.get("enabled", True)]
     at = F.lit(now).cast("timestamp")
-    newest = Window.partitionBy("key").orderBy(F.col("modified").desc(), F.col("version").desc())
-    rows = versions.withColumn("_rank", F.row_number().over(newest)).withColumn("_superseded", F.lag("modified").over(newest)).withColumn("_n", F.count("*").over(Window.partitionBy("key")))
+    takes = [F.when(F.col("is_marker"), covers_marker(r)).otherwise(covers(r)) for r in rules]
+    # how many newer ones a rule keeps
+    rows = ranked(versions, "key", "modified", "version", {f"_kept{i}": t for i, (r, t) in enumerate(zip(rules, takes, strict=True)) if r.get("noncurrent_days")})
 
     def old(column: str, days: int) -> Column:
         return F.col(column) + F.make_dt_interval(F.lit(days)) <= at
 
-    taken = [F.when(F.col("is_marker"), covers_marker(r)).otherwise(covers(r)) & (F.col("_rank") > 1) for r in rules]
-    for i, (r, t) in enumerate(zip(rules, taken, strict=True)):
-        if r.get("noncurrent_days"):  # how many newer ones the rule keeps
-            rows = rows.withColumn(f"_kept{i}", F.count_if(t).over(newest.rowsBetween(Window.unboundedPreceding, -1)))
     expire, marker, noncurrent = [], [], []
-    for i, (r, t) in enumerate(zip(rules, taken, strict=True)):
+    for i, (r, t) in enumerate(zip(rules, takes, strict=True)):
         id_, days = F.lit(r["id"]), r.get("days")
         ages = F.lit(False)
         if days:

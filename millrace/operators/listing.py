@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def list_objects(df: DataFrame, key: str, *, prefix: str = "", delimiter: str = "", start_after: str = "", max_keys: int = 1000) -> DataFrame:
     """entry, is_prefix, n_keys: a page of keys and common prefixes in one byte order.
@@ -92,12 +94,11 @@ def lifecycle_due(df: DataFrame, key: str, version: str, modified: str, *, now:
     A current version expires expire_days after it was written. A noncurrent one goes when keep_newest newer noncurrent
     ones exist and noncurrent_days have passed since the next version superseded it.
     """
-    by_key = Window.partitionBy(key).orderBy(F.col(modified).desc(), F.col(version).desc())
-    ranked = df.select(key, version, modified).withColumn("_rank", F.row_number().over(by_key)).withColumn("_superseded", F.lag(modified).over(by_key))
+    rows = ranked(df.select(key, version, modified), key, modified, version)
     at = F.lit(now).cast("timestamp")
 
     def old(column: str, days: int):
         return F.col(column) + F.make_dt_interval(F.lit(days)) <= at
 
     action = F.when((F.col("_rank") == 1) & old(modified, expire_days), "expire").when((F.col("_rank") > 1 + keep_newest) & old("_superseded", noncurrent_days), "delete_noncurrent")
-    return ranked.withColumn("action", action).filter(F.col("action").isNotNull()).select(key, version, "action")
+    return rows.withColumn("action", action).filter(F.col("action").isNotNull()).select(key, version, "action")

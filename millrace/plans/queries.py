@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as v
 from ..operators import analytics, grep, listing, policy
 from ..sources import table_log
-from . import more
+from . import more, wider
 
 MAIL = "[a-z0-9.]+@[a-z0-9]+[.][a-z]+"
 BOUNDS = [1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
@@ -88,7 +88,7 @@ def live_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_log.live(orders, F.concat(F.lit("c="), F.col("o_custkey").cast("string")), F.col("o_orderkey"), F.col("o_orderstatus") != "F", F.floor("o_totalprice").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (select_rows, select_aggregates, grep_documents, list_hosts, list_versions, lifecycle_due, usage_report, value_histogram, duplicate_share, access_decisions, live_files)} | more.QUERIES
+QUERIES = {f.__name__: f for f in (select_rows, select_aggregates, grep_documents, list_hosts, list_versions, lifecycle_due, usage_report, value_histogram, duplicate_share, access_decisions, live_files)} | more.QUERIES | wider.QUERIES
 
 ORACLE_SQL = {
     "select_rows": """
@@ -133,4 +133,4 @@ SELECT event_id, CASE WHEN event_type = 'error' AND user_id::VARCHAR LIKE '%7' T
     "live_files": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders)
 SELECT 'c=' || o_custkey AS path, o_orderkey AS version, floor(o_totalprice)::BIGINT AS size FROM r WHERE rn = 1 AND o_orderstatus <> 'F'""",
-} | more.ORACLE_SQL
+} | more.ORACLE_SQL | wider.ORACLE_SQL
