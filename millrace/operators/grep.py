@@ -1,7 +1,7 @@
 """Regular-expression search over the lines of texts, with byte offsets and caps.
 
 One pass over a text's lines keeps the byte position and the hits so far, so the work grows with the text and only
-matching lines are exploded: no shuffle, no Python.
+matching lines are exploded: no shuffle, no Python. Hits gather in blocks, since each append copies what it appends to.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hits of a text in a block.
+BLOCK = 256
+
 
 def _cut(line: Column, most: int) -> Column:
     """At most `most` bytes of a line, cut back to a character's end."""
@@ -26,37 +29,49 @@ def grep(
     literal: bool = False,
     case_insensitive: bool = False,
     invert: bool = False,
-    max_matches: int = 1000,
-    content_max_bytes: int = 8192,
+    max_matches: int | None = 1000,
+    content_max_bytes: int | None = 8192,
 ) -> DataFrame:
     """One row for each matching line of each text, its first match, offsets in bytes from the text's start.
 
-    max_matches caps the lines of one text; `capped` says that the cap was reached, even if nothing follows. A null text
-    has no lines; a newline at the end opens no further line. Lines that are not UTF-8 count but never match.
+    max_matches caps the lines of one text; `capped` says that the cap was reached, even if nothing follows. None for it
+    returns every line, None for content_max_bytes every line whole. A null text has no lines; a newline at the end opens
+    no further line. Lines that are not UTF-8 count but never match.
     """
     rule = ("(?i)" if case_insensitive else "") + ("\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E" if literal else pattern)
     whole = F.col(text)
     size = F.octet_length(whole)
     body = F.when(whole.endswith("\n"), F.expr(f"left(`{text}`, char_length(`{text}`) - 1)")).otherwise(whole)
 
-    def step(acc: Column, line: Column) -> Column:
-        found = F.regexp_replace(line, "[\r]+$", "").rlike(rule)
-        hit = F.is_valid_utf8(line) & (~found if invert else found) & (F.size(acc["hits"]) < max_matches)
+    def tried(line: Column) -> Column:
+        found = F.rtrim(line, F.lit("\r")).rlike(rule)
+        return F.struct(line.alias("line"), (F.is_valid_utf8(line) & (~found if invert else found)).alias("hit"))
+
+    def step(acc: Column, one: Column) -> Column:
+        line, hit = one["line"], one["hit"]
+        if max_matches is not None:
+            hit = hit & (F.size(acc["full"]) * BLOCK + F.size(acc["hits"]) < max_matches)
         n, after = acc["n"] + 1, acc["pos"] + F.octet_length(line) + 1
         # a line's end counts where there is one
         own = F.struct(n.alias("line_number"), acc["pos"].alias("offset"), (F.least(after, size.cast("long")) - acc["pos"]).cast("int").alias("line_length"), line.alias("line"))
-        return F.struct(n.alias("n"), after.alias("pos"), F.when(hit, F.array_append(acc["hits"], own)).otherwise(acc["hits"]).alias("hits"))
+        last = hit & (F.size(acc["hits"]) == BLOCK - 1)
+        full = F.when(last, F.array_append(acc["full"], F.array_append(acc["hits"], own))).otherwise(acc["full"])
+        return F.struct(n.alias("n"), after.alias("pos"), full.alias("full"), F.when(last, none).when(hit, F.array_append(acc["hits"], own)).otherwise(acc["hits"]).alias("hits"))
 
-    none = F.array().cast("array<struct<line_number:int,offset:bigint,line_length:int,line:string>>")
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("pos"), none.alias("hits"))
-    hits = df.filter(whole.isNotNull() & (whole != "")).select(key, F.aggregate(F.split(body, "\n", -1), start, step)["hits"].alias("_hits"))
-    rows = hits.select(key, (F.size("_hits") >= max_matches).alias("capped"), F.explode("_hits").alias("_hit")).select(key, "capped", "_hit.*")
-    line = F.regexp_replace("line", "[\r]+$", "")
+    kind = "array<struct<line_number:int,offset:bigint,line_length:int,line:string>>"
+    none = F.array().cast(kind)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{kind}>").alias("full"), none.alias("hits"))
+    found = F.aggregate(F.transform(F.split(body, "\n", -1), tried), start, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["hits"])))
+    hits = df.filter(whole.isNotNull() & (whole != "")).select(key, found.alias("_hits"))
+    capped = F.lit(False) if max_matches is None else F.size("_hits") >= max_matches
+    rows = hits.select(key, capped.alias("capped"), F.explode("_hits").alias("_hit")).select(key, "capped", "_hit.*")
+    line = F.rtrim(F.col("line"), F.lit("\r"))
     at = F.lit(0) if invert else F.octet_length(F.substr(line, F.lit(1), F.regexp_instr(line, F.lit(rule), 0) - 1))
     length = F.lit(0) if invert else F.octet_length(F.regexp_substr(line, F.lit(rule)))
     return rows.select(
         key, "line_number", "offset", "line_length", (F.col("offset") + at).alias("match_offset"), length.alias("match_length"),
-        _cut(line, content_max_bytes).alias("content"), (F.octet_length(line) > content_max_bytes).alias("truncated"), "capped",
+        (line if content_max_bytes is None else _cut(line, content_max_bytes)).alias("content"),
+        (F.lit(False) if content_max_bytes is None else F.octet_length(line) > content_max_bytes).alias("truncated"), "capped",
     )
 
 

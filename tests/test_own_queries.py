@@ -39,6 +39,21 @@ def test_grep_offsets_caps_and_invert(spark):
     assert grep.grep(df, "k", "t", ".", literal=True).count() == 0
 
 
+def _sql_and_rows(spark, folder, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in want.description]
+    return Counter(tuple(r[n] for n in names) for r in queries.QUERIES[name](spark, str(folder)).collect()), Counter(want.fetchall())
+
+
+def test_grep_documents_of_long_and_many_lines(spark, tmp_path):
+    texts = ["x " * 5000 + "a@b.c\r\nshort a@b.c", "a@b.c\n" * 1300, "q@r.s\r\u2028"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = _sql_and_rows(spark, tmp_path, "grep_documents", "documents")
+    assert got == want and len(got) == 1303
+
+
 def test_listing_rolls_up_and_pages(spark):
     df = spark.createDataFrame([(k,) for k in ("1", "k0", "k1/x", "k1/y", "k2", "q", None)], "key string")
     seen, after = [], ""
