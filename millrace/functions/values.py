@@ -110,6 +110,11 @@ def modulo(a: Column, b: Column) -> Column:
     return a.cast("long") % b.cast("long")
 
 
+def rounded(x: Column) -> Column:
+    """A double rounded to a whole one, halves away from zero; what comes to zero keeps its sign."""
+    return F.signum(x) * F.round(F.abs(x))
+
+
 def float_text(x: Column) -> Column:
     """A double as text: always with a point below 1e16 and from 1e-5 up, else with a plain exponent (1e300, 1.5e-7)."""
     raw = x.cast("string")

@@ -61,6 +61,14 @@ def test_grep_literal_of_long_and_many_lines(spark, tmp_path):
     assert got == want and len(got) == 1303
 
 
+def test_select_strings_of_small_negative_balances(spark, tmp_path):
+    balances = [-0.01, -0.5, -0.49, 0.0, -0.0, 0.49, 0.5, 2.5, -2.5, -999.99, 9999.5, None]
+    rows = [(i, f"Customer#{i:09}", i, "AUTOMOBILE", x) for i, x in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got, want = _sql_and_rows(spark, tmp_path, "select_strings", "customer")
+    assert got == want and sum(r[-1] == "-0.0" for r in got) == 3
+
+
 def test_listing_rolls_up_and_pages(spark):
     df = spark.createDataFrame([(k,) for k in ("1", "k0", "k1/x", "k1/y", "k2", "q", None)], "key string")
     seen, after = [], ""
