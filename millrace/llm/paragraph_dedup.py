@@ -140,7 +140,7 @@ def _sides(batches):
         named = part.column("named")
         of = np.repeat(np.arange(part.num_rows), named.value_lengths().to_numpy(zero_copy_only=False))
         flat = named.flatten()
-        pos, keys = flat.field("pos"), flat.field("key")
+        pos = flat.field("pos")
         at = pos.to_numpy().astype(np.int64) + places[of]
         n = np.stack([np.minimum(at - places[of], SPAN), np.minimum(places[of + 1] - at - RUN, SPAN)], axis=1)
         before = words[np.maximum(at[:, None] - 1 - reach, 0)] if len(at) else np.zeros((0, SPAN), np.uint32)
@@ -148,7 +148,7 @@ def _sides(batches):
         held = np.concatenate([n.astype(np.uint32), before, after], axis=1)
         sides = pa.array([x.tobytes() for x in held], pa.binary())
         own = [part.column(k).take(pa.array(of)) for k in ("doc", "dig")]
-        yield pa.RecordBatch.from_arrays([keys, *own, pos, sides], names=["key", "doc", "dig", "pos", "sides"])
+        yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in ("key", "n", "leads")), *own, pos, sides], names=["key", "n", "leads", "doc", "dig", "pos", "sides"])
 
 
 def _extended(batches):
@@ -280,15 +280,19 @@ def _texts(docs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc, dig, start, end, first: words that equal, RUN or more in a row, earlier ones, and the document that keeps them. docs: doc_id, text."""
     texts = _texts(docs)
+    place = F.struct("doc", "dig", "pos")
     found = c.written(texts.mapInArrow(_seed_rows, "key long, doc long, dig long, pos int"), "paragraph-seeds")
     twice = found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    named = c.with_key(found, c.written(twice, "paragraph-recurring"), "key", found.count()).groupBy("doc", "dig").agg(F.collect_set(F.struct("pos", "key")).alias("named"))
-    texts = texts.withColumnRenamed("doc_id", "doc").join(named, ["doc", "dig"]).select("doc", "dig", "named", "text")
-    sides = c.written(texts.mapInArrow(_sides, "key long, doc long, dig long, pos int, sides binary"), "paragraph-sides")
-    lead = sides.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dig", "pos", "sides")).alias("lead"))
-    met = c.with_key(sides, c.written(lead, "paragraph-leads"), "key", sides.count())
-    met = met.filter(F.struct("doc", "dig", "pos") != F.struct("lead.doc", "lead.dig", "lead.pos"))
-    met = met.select("doc", "dig", "pos", "sides", F.col("lead.doc").alias("first"), F.col("lead.sides").alias("first_sides"))
+    again = c.written(c.with_key(found, c.written(twice, "paragraph-recurring"), "key", found.count()).drop("n"), "paragraph-again")
+    # who leads is settled before the words around the seeds are read, so these are shuffled once
+    leads = c.written(again.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("lead")), "paragraph-leads")
+    n_rows = again.count()
+    marked = c.with_key(again, leads, "key", n_rows).select("doc", "dig", F.struct("pos", "key", "n", (place == F.col("lead")).alias("leads")).alias("seed"))
+    named = marked.groupBy("doc", "dig").agg(F.collect_set("seed").alias("named"))
+    texts = texts.withColumnRenamed("doc_id", "doc").join(named, ["doc", "dig"]).select("doc", "dig", "named", "text").dropDuplicates(["doc", "dig"])
+    sides = c.written(texts.mapInArrow(_sides, "key long, n long, leads boolean, doc long, dig long, pos int, sides binary"), "paragraph-sides")
+    lead = sides.filter("leads").select("key", "n", F.col("doc").alias("first"), F.col("sides").alias("first_sides"))
+    met = c.with_key(sides.filter("not leads").drop("n", "leads"), lead, "key", n_rows).select("doc", "dig", "pos", "sides", "first", "first_sides")
     return met.mapInArrow(_extended, "doc long, dig long, start int, end int, first long").distinct()
 
 

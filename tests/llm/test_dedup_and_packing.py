@@ -302,3 +302,24 @@ def test_words_said_over_and_over(spark):
     got = {r["doc_id"]: r for r in paragraph_dedup.spans(spark.createDataFrame(odd_rows(texts.items()), ODD)).collect()}
     assert got[3]["removed_words"] == 100 and got[4]["removed_words"] == 60 and got[4]["text"].split() == ["x", "y"]
     assert 2900 < got[1]["removed_words"] < 3000 and 2900 < got[2]["removed_words"] < 3000
+
+
+def test_words_around_seeds_are_kept_once(spark, monkeypatch):
+    """One table holds them, each place once, though rows repeat; what the runs are stays as it was."""
+    kept, tables = paragraph_dedup.c.written, []
+
+    def watched(df, name):
+        tables.append((name, kept(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(paragraph_dedup.c, "written", watched)
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a b c {own} d e"), (1, f"a b c {own} d e"), (2, f"f {own} g h"), (3, " ".join(f"v{i}" for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = {(r["doc"], r["start"], r["end"], r["first"]) for r in paragraph_dedup.repeated_runs(docs).collect()}
+    assert runs and all(doc == 2 and first == 1 and 1 <= start < end <= 61 for doc, start, end, first in runs)
+    assert {i for _, start, end, _ in runs for i in range(start, end)} == set(range(1, 61))
+    wide = [(name, df) for name, df in tables if "sides" in str(df.schema)]
+    assert [name for name, _ in wide] == ["paragraph-sides"]
+    places = [tuple(r) for r in wide[0][1].select("key", "doc", "dig", "pos").collect()]
+    assert len(places) == len(set(places))
