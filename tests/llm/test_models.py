@@ -231,3 +231,27 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
 def test_language_model_beats_the_word_model_on_the_smallest_table(spark):
     held = [r for r in lm_scoring.score_documents(c.documents(spark, "/root/testdata/sf0.001")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_attention_takes_one_place_a_word_and_any_text_can_be_spelled(spark):
+    words = [b"the", b"theen", b"thenes", b"zu", b"a\xc2\xa0", b"\xc2\xa0b", "日本".encode(), b"x" * 300]
+    ids, sizes = lm_scoring.pieces(words)
+    alone = [lm_scoring.pieces([w])[0].tolist() for w in words]
+    assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == sum(alone, [])  # no word's pieces depend on its neighbours
+    rows = spark.createDataFrame([(i, w, n, max(n, 1)) for i, (w, n) in enumerate(zip(words[:5], (9, 4, 1, 0, 2), strict=True), 1)], "hash long, word binary, n_train long, n_all long")
+    model = lm_scoring.fit(rows)
+    lexicon, head = model["lexicon"], model["head"]
+    ids, _, spelled, n = lexicon.words(words, lm_scoring.Vocabulary(lexicon.chosen))
+    assert len(ids) == len(words) and np.isfinite(spelled).all() and (spelled < 0).all()
+    for b, word in ((b, w) for b in range(256) for w in (bytes([b]),) if b > 127 or chr(b).isprintable() and b != 32):
+        assert np.isfinite(lexicon.words([word], lm_scoring.Vocabulary(lexicon.chosen))[2]).all(), b
+    assert (head.inside <= 0).all() and sum(10.0**x for x in head.inside[head.counts > 0]) >= len(lexicon.own)
+    # what follows a subword, its word's end included, has probabilities that add up to 1
+    seen = np.arange(1, lm_scoring.Vocabulary(lexicon.chosen).size)
+    total = (10.0 ** lexicon.step[seen].astype(float)).sum(axis=1) + 10.0 ** lexicon.stop[seen]
+    assert total == pytest.approx(1.0, abs=1e-4)
+    docs = spark.createDataFrame([(i, b" ".join(words).decode(), False, 0) for i in range(3)], "doc_id long, text string, held_out boolean, round int")
+    held = spark.sparkContext.broadcast(model)
+    got = docs.mapInArrow(lm_scoring._encoded(held), lm_scoring.ENCODED).collect()
+    assert all(len(r["ids"]) == 2 * len(words) and r["n_words"] == len(words) for r in got)
+    assert sorted(x["n"] for x in got[0]["rare"]) == [1] * got[0]["n_rare"]
