@@ -323,3 +323,41 @@ def test_words_around_seeds_are_kept_once(spark, monkeypatch):
     assert [name for name, _ in wide] == ["paragraph-sides"]
     places = [tuple(r) for r in wide[0][1].select("key", "doc", "dig", "pos").collect()]
     assert len(places) == len(set(places))
+
+
+def test_rounds_of_leaders_end_where_members_are_unlike(spark, monkeypatch):
+    from millrace.llm import leaders
+
+    monkeypatch.setattr(leaders, "SMALL", 1)
+    monkeypatch.setattr(leaders, "BLOCK", 4)
+    monkeypatch.setattr(leaders, "MOST", 8)
+    rng = np.random.default_rng(10)
+    sets = {d: {0, *rng.integers(1, 1 << 40, 9).tolist()} for d in range(40)}
+    sets |= {100 + d: {*list(sets[d])[:9], 5000 + d} if d % 2 else {*sets[d], 5000 + d} for d in range(0, 40, 5)}  # 9 of 11, or 10 of 11, alike
+    table = spark.createDataFrame([(d, [*map(int, s)]) for d, s in sets.items()], "node long, shingles array<long>")
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    calls = []
+
+    def alike(pairs):
+        calls.append(1)
+        return spark.createDataFrame([(r["a"], r["b"], similar(r["a"], r["b"])) for r in pairs.collect()], "a long, b long, similarity double")
+
+    def blocks(met):
+        def run(batches):
+            for links in leaders.grouped(batches, lambda b: [(np.asarray(x, np.int64), np.ones(len(x), np.float32)) for x in b.column("shingles").to_pylist()], lambda node: node, 0.8):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64()), "similarity": pa.array([x[2] for x in links], pa.float64())})
+
+        rows = met.join(table, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "shingles")
+        return rows.mapInArrow(run, "a long, b long, similarity double")
+
+    links = leaders.linked(table.selectExpr("1L AS key", "node"), alike, blocks, 0.8, "unlike").collect()
+    groups, want = Groups(), Groups()
+    for r in links:
+        assert similar(r["a"], r["b"]) >= 0.8 - 1e-6
+        groups.join(r["a"], r["b"])
+    for a in sets:
+        for b in sets:
+            if a < b and similar(a, b) >= 0.8:
+                want.join(a, b)
+    assert len(want.up) >= 16 and {x: want.root(x) for x in want.up} == {x: groups.root(x) for x in groups.up}
+    assert len(calls) <= 4
