@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ def bands_for(least: float, recall: float, rows: int = 1) -> int:
 
 
 BANDS = bands_for(LEAST, RECALL)
+#: Counters of shingles of paragraphs in large buckets, which say what is rare there.
+COUNTERS = 1 << 16
 #: A word that ends in one of these ends a sentence.
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?;:|", np.uint8))
 
@@ -217,6 +220,47 @@ def _block_links(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, kind), "b": pa.array(b, kind), "similarity": pa.array([x[2] for x in links], pa.float64())})
 
 
+def _counted(batches):
+    """How often each counter's shingles occur in a task's rows."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(_counter(batch.column("shingles").flatten().to_numpy()), minlength=COUNTERS)
+    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _added(df: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"counts": [sum(np.frombuffer(x, "<i8") for x in df["counts"]).astype("<i8").tobytes()]})
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of distinct shingles, so many that any set alike by LEAST has one of them among its own rarest.
+
+    Alike sets share LEAST of either at least; the first shared one, in one order for all sets, has no more than the others
+    before it. Any order will do: counts that lump shingles together cost comparisons, not links.
+    """
+    order = np.lexsort((shingles, counts[_counter(shingles)]))
+    return shingles[order[: len(shingles) - math.ceil(LEAST * len(shingles) - 1e-6) + 1]]
+
+
+def _finer(held):
+    """Rows of large buckets, dealt by bucket and rare shingle."""
+
+    def run(batches):
+        for batch in batches:
+            found = [rarest(np.asarray(x, np.int64), held.value) for x in batch.column("shingles").to_pylist()]
+            n = [len(x) for x in found]
+            of = np.repeat(np.arange(batch.num_rows), n)
+            shingles = np.concatenate([*found, np.zeros(0, np.int64)]).view(np.uint64)
+            keys = c.mix(batch.column("key").to_numpy().view(np.uint64)[of] ^ c.mix(shingles))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("node").take(pa.array(of))], names=["key", "node"])
+
+    return run
+
+
 def _cut(batches):
     """Removes the words of each text that are to go and stand in long enough runs; white space around a run closes up."""
     for part in c.text_chunks(batches):
@@ -326,7 +370,16 @@ def removals(docs: DataFrame) -> DataFrame:
         rows = met.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "shingles")
         return rows.mapInArrow(_block_links, "a struct<doc:long,dig:long,seg:int>, b struct<doc:long,dig:long,seg:int>, similarity double")
 
-    links = linked(buckets, alike, blocks, LEAST, "paragraph")
+    def finer(rows: DataFrame) -> DataFrame:
+        met = c.written(rows.join(sets, "node"), "paragraph-large")
+        parts = met.select("shingles").mapInArrow(_counted, "counts binary")
+        # added up in two steps, so that no task meets all tasks' counters
+        parts = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("_salt").applyInPandas(lambda df: _added(df[["counts"]]), "counts binary")
+        counts = np.frombuffer(parts.groupBy().applyInPandas(_added, "counts binary").first()["counts"], "<i8")
+        held = rows.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+        return met.mapInArrow(_finer(held), "key long, node struct<doc:long,dig:long,seg:int>")
+
+    links = linked(buckets, alike, blocks, LEAST, "paragraph", finer)
     classes = c.written(connected(links.select("a", "b"), "paragraph-components"), "paragraph-classes")
     others = classes.filter(F.col("node") != F.col("root")).select("node.doc", "node.dig", "node.seg", F.col("root.doc").alias("first"))
     equal = same.join(classes.withColumnRenamed("node", "lead"), "lead", "left").select("doc", "dig", "seg", F.coalesce("root.doc", "lead.doc").alias("first"))

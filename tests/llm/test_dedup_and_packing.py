@@ -361,3 +361,38 @@ def test_rounds_of_leaders_end_where_members_are_unlike(spark, monkeypatch):
                 want.join(a, b)
     assert len(want.up) >= 16 and {x: want.root(x) for x in want.up} == {x: groups.root(x) for x in groups.up}
     assert len(calls) <= 4
+
+
+def test_paragraphs_that_share_words_and_are_unlike_need_no_round_each(spark, monkeypatch):
+    """A bucket beyond MOST whose members have a few common words and are else unlike is not led member by member; alike ones in it are found."""
+    from millrace.llm import leaders
+
+    monkeypatch.setattr(leaders, "SMALL", 1)
+    monkeypatch.setattr(leaders, "BLOCK", 4)
+    monkeypatch.setattr(leaders, "MOST", 8)
+    kept, names = paragraph_dedup.c.written, []
+    monkeypatch.setattr(paragraph_dedup.c, "written", lambda df, name: names.append(name) or kept(df, name))
+    rng = np.random.default_rng(8)
+    common = prose(rng, 12)
+    lines = {d: [*common, *prose(rng, 8)] for d in range(60)}
+    lines |= {100 + d: [*lines[d], f"x{d}"] for d in range(0, 60, 3)}  # 16 shingles of 17
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in lines.items()], "doc_id long, text string")
+    keys = paragraph_dedup._texts(docs).mapInArrow(paragraph_dedup._rows("alike"), "key long, doc long, dig long, seg int")
+    assert max(r["count"] for r in keys.groupBy("key").count().collect()) > 16
+    got = {(r["doc"], r["first"]) for r in paragraph_dedup.removals(docs).collect()}
+    want = {(100 + d, d) for d in range(0, 60, 3)}
+    assert got <= want and len(got) >= 0.9 * len(want)  # two bands of one hash find 99.7 % of pairs so much alike
+    assert names.count("paragraph-tested") <= 3
+
+
+def test_the_rarest_shingles_of_alike_sets_meet():
+    rng = np.random.default_rng(9)
+    for counts in (rng.integers(0, 9, paragraph_dedup.COUNTERS), np.zeros(paragraph_dedup.COUNTERS, np.int64)):
+        for n in (1, 2, 4, 5, 9, 10, 33):
+            for _ in range(30):
+                shared = rng.integers(-(1 << 62), 1 << 62, n)
+                own = [rng.integers(-(1 << 62), 1 << 62, rng.integers(0, n // 4 + 1)) for _ in range(2)]
+                x, y = (np.unique(np.concatenate([shared, o])) for o in own)
+                if n / (n + len(own[0]) + len(own[1])) >= paragraph_dedup.LEAST:
+                    a, b = (paragraph_dedup.rarest(z, counts) for z in (x, y))
+                    assert len(np.intersect1d(a, b)) and len(a) <= 0.2 * len(x) + 1
