@@ -255,3 +255,29 @@ def test_attention_takes_one_place_a_word_and_any_text_can_be_spelled(spark):
     got = docs.mapInArrow(lm_scoring._encoded(held), lm_scoring.ENCODED).collect()
     assert all(len(r["ids"]) == 2 * len(words) and r["n_words"] == len(words) for r in got)
     assert sorted(x["n"] for x in got[0]["rare"]) == [1] * got[0]["n_rare"]
+
+
+def test_attention_learns_from_and_draws_every_subword(spark):
+    words = [b"the", b"theen", b"thenes", b"zu", "日本".encode(), b"x" * 30]
+    rows = spark.createDataFrame([(i, w, n, max(n, 1)) for i, (w, n) in enumerate(zip(words[:4], (9, 4, 1, 0), strict=True), 1)], "hash long, word binary, n_train long, n_all long")
+    model = lm_scoring.fit(rows)
+    vocabulary = lm_scoring.Vocabulary(model["lexicon"].chosen)
+    texts = [b" ".join(words).decode(), "", None, "the the zu"]
+    docs = spark.createDataFrame([(i, t, False, 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, round int").coalesce(1)
+    table = docs.mapInArrow(lm_scoring._encoded(spark.sparkContext.broadcast(model)), lm_scoring.ENCODED).orderBy("doc_id").toArrow()
+    for t, row in zip(texts, table.to_pylist(), strict=True):
+        own = WORD.findall(t or "")
+        want, _ = vocabulary.ids([w.encode() for w in own])
+        assert np.frombuffer(row["subwords"], "<u2").tolist() == want.tolist() and row["n_subwords"] == len(want) + 1
+
+    class Held:
+        value = (model["prior"], attention_lm.begin(), 0.0)
+
+    batches = table.select(["subwords"]).to_batches()
+    trained = next(lm_scoring._trained_parts(Held, 0)(batches)).to_pylist()[0]
+    assert trained["subwords"] == sum(table.column("n_subwords").to_pylist()) > table.num_rows + sum(table.column("n_words").to_pylist())
+    # the attention's score follows every subword, those inside words too
+    scorer = lambda ids: attention_lm.log_probs(attention_lm.unpacked(attention_lm.begin()[0]), model["prior"], *attention_lm.blocks([ids], 0)[:3])
+    ids = np.frombuffer(table.column("subwords")[0].as_py(), "<u2").astype(np.int64)
+    assert (scorer(ids) < 0).sum() == len(ids) + 1
+    assert np.exp(model["prior"]["mem"].astype(float)).sum(axis=1) == pytest.approx(1.0, abs=1e-3)
